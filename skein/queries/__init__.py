@@ -3,7 +3,7 @@
 import importlib
 import importlib.util
 
-MODULES = ("processing", "hierarchy", "graph", "scalars", "lookups", "analysis", "extraction")
+MODULES = ("processing", "hierarchy", "graph", "scalars", "lookups", "joins", "analysis", "extraction", "streams")
 
 
 def _modules():
