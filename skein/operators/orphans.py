@@ -39,6 +39,8 @@ def orphan_keys(refs: DataFrame, records: DataFrame, scope: list[str]) -> DataFr
 
 
 def orphan_rows(refs: DataFrame, orphans: DataFrame, scope: list[str]) -> DataFrame:
-    """The rows of refs (scope, key, month and any payload) that are orphans, with the reason; hot keys are split off."""
+    """The rows of refs (scope, key, month and any payload) that are orphans, with the reason; hot keys are split off.
+    A payload column named reason gives way to the result's."""
+    refs = refs.drop("reason")
     found = orphans.select(*scope, "key", "month", "reason")
     return lookup_join(refs.where(F.col("key").isNotNull() & F.col("month").isNotNull()), found, [*scope, "key", "month"], "inner")
