@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.doc_text import real_documentation
 from skein.llm.source_files import known_files
-from skein.llm.syntax.lexers import Lexed
+from skein.syntax.lexers import Lexed
 from skein.llm.syntax.validity import LANGUAGE_OF, _width, repair
 
 TOKEN_SCHEMA = "rid long, rel_path string, language string, pos int, kind string, text string, line int, end_line int"

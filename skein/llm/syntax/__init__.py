@@ -1 +1 @@
-"""Lexers, grammars and an error-correcting chart parser for five languages."""
+"""Grammars and an error-correcting chart parser for five languages."""
