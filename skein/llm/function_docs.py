@@ -233,7 +233,7 @@ def function_declarations(files: DataFrame) -> DataFrame:
         F.nullif(F.when(lang == "python", F.regexp_extract(head, r"^(?:async )?def ([\w]+)", 1)).when(lang == "go", F.regexp_extract(head, r"^func (?:\( \) )?([\w]+) ", 1)).when(lang == "java", java_name).otherwise(F.when(is_open, js_function)), F.lit("")).alias("named"),
         F.when(is_js, F.nullif(method, F.lit(""))).alias("member"),
         F.when(is_js & (F.col("end.depth") - is_open.cast("int") == 0), F.nullif(js_arrow, F.lit(""))).alias("arrow"),
-        F.when((lang == "python") & is_open & (F.col("end.k1") == "STR") & (F.col("end.k2") == ";"), F.col("end.t1")).alias("docstring"),
+        F.when((lang == "python") & is_open & (F.col("end.k1") == "STR") & (F.col("end.k2") == ";") & F.col("end.t1").rlike("^[rRuU]?[\"']"), F.col("end.t1")).alias("docstring"),
         F.when((lang == "java") & head.startswith("package "), F.array_join(F.slice(F.transform(F.filter("code", lambda t: t["kind"].isin("ID", "WORD")), lambda t: t["text"]), 2, 1000), ".")).alias("package"),
         F.when((lang == "go") & head.startswith("func ( )"), F.regexp_extract(F.try_element_at(F.filter("code", lambda t: t["kind"] == "("), F.lit(1))["text"], r"([\w]+)\s*(?:\[.*\])?\s*$", 1)).alias("receiver"),
     )

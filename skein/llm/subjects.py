@@ -19,9 +19,9 @@ MIN_SUPPORT = 4  # sentences, in the labelled sample
 CORPUS_SUPPORT = 2e-5  # share of all sentences, in the second mining
 MAX_WORDS = 2  # words of a rule
 TELLING = 0.25  # least confidence of a word by itself; common words of all subjects fall below
-#: A rule this sure decides a sentence; weaker ones only add up.
+#: A rule this sure decides a sentence; weaker ones only add up. Rules from noisy labels need less.
 STRONG = 0.75
-SURE = math.log(STRONG / (1 - STRONG))
+FIRST_STRONG = 0.6
 
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.S | re.M)
 _TRACE = re.compile(r"^(?:\s+at \S|\s*File \"|\s*Traceback \(|Caused by:|\s*\.\.\. \d+ more|\s*goroutine \d|[\w.$]+(?:Error|Exception)\b).*$", re.M)
@@ -77,7 +77,7 @@ def mine_rules(transactions: DataFrame, support: float, scratch: Scratch, per_do
     seen = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT)
     with_class = words.select("w", F.explode("classes").alias("c")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
     expected = F.col("n") * base[F.col("c")]
-    telling = with_class.join(seen, "w").where((F.col("k") >= MIN_SUPPORT) & (F.col("k") >= TELLING * F.col("n")) & (F.col("k") >= 2 * expected) & (F.col("k") - expected >= 3 * F.sqrt(expected))).select("w").distinct()
+    telling = with_class.join(seen, "w").where((F.col("k") >= MIN_SUPPORT) & (F.col("k") >= TELLING * F.col("n")) & (F.col("k") >= 1.5 * expected) & (F.col("k") - expected >= 2.5 * F.sqrt(expected))).select("w").distinct()
     # At most (words a sentence) / support words are that frequent.
     keep = {r[0] for r in telling.collect()}
     shared = data.sparkSession.sparkContext.broadcast(keep)
@@ -126,7 +126,8 @@ def calibrate(rules: DataFrame, held_out: DataFrame, prior: float = 4.0) -> Data
 class Scorer:
     """Rules as evidence: the log odds of their calibrated confidence."""
 
-    def __init__(self, rules: list[tuple[list[str], str, float]]):
+    def __init__(self, rules: list[tuple[list[str], str, float]], strong: float = STRONG):
+        self.sure = math.log(strong / (1 - strong))
         self.single: dict[str, dict[str, float]] = {}
         self.pair: dict[tuple[str, str], dict[str, float]] = {}
         for words, subject, p in rules:
@@ -145,10 +146,10 @@ class Scorer:
             for b in known[i + 1 :]:
                 for s, e in self.pair.get((a, b), {}).items():
                     total.setdefault(s, []).append(e)
-        sure = [s for s in sorted(total) if max(total[s]) >= SURE]
+        sure = [s for s in sorted(total) if max(total[s]) >= self.sure]
         if sure:
             # More than one sure subject: the one with more evidence over its sure rules.
-            return max(sure, key=lambda s: (sum(e for e in total[s] if e >= SURE), max(total[s]), s)), {}
+            return max(sure, key=lambda s: (sum(e for e in total[s] if e >= self.sure), max(total[s]), s)), {}
         # Two or more words that each point to a subject weakly.
         return "", {s: sum(evidence) for s, evidence in total.items() if len(evidence) >= 2 and max(evidence) > -1.8}
 
@@ -173,17 +174,18 @@ class Scorer:
         return counts, out
 
 
-def _collected(rules: DataFrame) -> Scorer:
+def _collected(rules: DataFrame, strong: float = STRONG) -> Scorer:
     """Rules on the driver: bounded, as a frequent word or pair has a minimum share of all sentences."""
-    return Scorer([(list(r["words"]), r["subject"], r["confidence"]) for r in rules.select("words", "subject", "confidence").collect()])
+    return Scorer([(list(r["words"]), r["subject"], r["confidence"]) for r in rules.select("words", "subject", "confidence").collect()], strong)
 
 
 def subject_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame, scratch: Scratch) -> Scorer:
-    """Rules from the hand labels, then again from all sentences under the first rules.
+    """Rules from the hand labels, then twice again from all sentences under the rules so far.
 
     Labels: any case, spaces around, repeated and unknown ones allowed; unknown subjects are left out. The first rules
     come from one half of the labelled documents and are calibrated on the other. They name the subject of sentences in
-    the whole corpus; the second mining, over all sentences (those about no subject included), gives the final rules.
+    the whole corpus; mining over all sentences (those about no subject included) gives surer rules, which are applied and
+    mined once more for rare words.
     """
     known = subjects.select(F.lower(F.trim("subject")).alias("subject")).distinct()
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).join(F.broadcast(known.limit(10_000)), "subject", "left_semi")
@@ -197,15 +199,22 @@ def subject_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     first = calibrate(mine_rules(labelled.where(half), 0.0, scratch, True), labelled.where(~half))
     other = calibrate(mine_rules(labelled.where(~half), 0.0, scratch, True), labelled.where(half))
     both = first.unionByName(other).groupBy("words", "subject").agg(F.avg("confidence").alias("confidence"))
-    scorer = documents.sparkSession.sparkContext.broadcast(_collected(both))
+    scorer = _collected(both, FIRST_STRONG)
+    for _ in range(2):
+        scorer = _collected(mine_rules(_assigned(texts, scorer), CORPUS_SUPPORT, scratch))
+    return scorer
+
+
+def _assigned(texts: DataFrame, scorer: Scorer) -> DataFrame:
+    """doc_id, words, classes of all sentences under a scorer's rules."""
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, words, [s] if s else []) for d, t in zip(pdf.doc_id, pdf.text) for words, s in scorer.value.document(t)[1]]
+            rows = [(d, words, [s] if s else []) for d, t in zip(pdf.doc_id, pdf.text) for words, s in shared.value.document(t)[1]]
             yield pd.DataFrame(rows, columns=["doc_id", "words", "classes"])
 
-    everywhere = texts.mapInPandas(assign, "doc_id long, words array<string>, classes array<string>")
-    return _collected(mine_rules(everywhere, CORPUS_SUPPORT, scratch))
+    return texts.mapInPandas(assign, "doc_id long, words array<string>, classes array<string>")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2, last: str = "software") -> DataFrame:
