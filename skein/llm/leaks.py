@@ -31,11 +31,22 @@ _LOOK_ALIKE = str.maketrans(
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e01ef]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'/\\]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")
-_LINE_PREFIX = re.compile(r"^[ \t]*(?:[>|#*+;%-]+[ \t]*|//+[ \t]*|\d{1,5}(?:[.):|]|[ \t]*[|│:])[ \t]+|L\d{1,5}:?[ \t]+)+", re.M)
+_NUMBERED = re.compile(r"^[ \t]*(?:[>|#*+;-]+[ \t]*)?L?(\d{1,6})(?:[.):|]|[ \t]*[|│:])?[ \t]")
 _PERCENT = re.compile(r"%(2[0-9A-Fa-f]|3[A-Fa-f]|0[AaDd]|[57][BbDdEe])")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _without_line_numbers(s: str) -> str:
+    """Drops numbers at the beginning of lines that count on from line to line; other signs there are no words anyway."""
+    lines = s.split("\n")
+    found = [_NUMBERED.match(x) for x in lines]
+    numbers = [int(m.group(1)) if m else None for m in found]
+    for i, n in enumerate(numbers):
+        if n is not None and (i and numbers[i - 1] == n - 1 or i + 1 < len(lines) and numbers[i + 1] == n + 1):
+            lines[i] = lines[i][found[i].end() :]
+    return "\n".join(lines)
+
+
 def _unescape(m: re.Match) -> str:
     code = m.group(1) or m.group(2)
     return chr(int(code, 16)) if code else " "
@@ -54,7 +65,7 @@ def plain_words(text: str | None) -> list[str]:
     s = _INVISIBLE.sub("", s)
     if "<" in s:
         s = _TAG.sub(" ", s)
-    s = _LINE_PREFIX.sub("", s)
+    s = _without_line_numbers(s)
     s = unicodedata.normalize("NFKC", s)
     s = _INVISIBLE.sub("", s).translate(_LOOK_ALIKE).lower()
     return _WORD.findall(s)
