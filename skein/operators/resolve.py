@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.lookup import hot_keys, lookup_join
+
 # Confidence of each strategy.
 CONFIDENCE = {"pre_resolved": 0.95, "type_exact": 0.95, "same_file": 0.85, "arg_count": 0.85, "name_unique": 0.70, "external": 0.70}
 
@@ -27,7 +29,10 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, external: DataFrame) -
     by_args = one(f, ["called_name", "arg_count"], "args_id")
     by_name = f.groupBy("called_name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("any_id"), F.slice(F.array_sort(F.collect_set("id")), 1, 5).alias("shown"))
     by_ext = one(external.select("id", F.col("name").alias("called_name")), ["called_name"], "ext_id")
-    j = c.join(by_qn, "called_name", "left").join(by_file, ["called_name", "file_path"], "left").join(by_args, ["called_name", "arg_count"], "left").join(by_name, "called_name", "left").join(by_ext, "called_name", "left")
+    hot = hot_keys(c, ["called_name"])
+    j = lookup_join(c, by_qn, ["called_name"], "left", hot).join(by_file, ["called_name", "file_path"], "left")
+    j = lookup_join(j, by_args, ["called_name", "arg_count"])
+    j = lookup_join(lookup_join(j, by_name, ["called_name"], "left", hot), by_ext, ["called_name"], "left", hot)
     strategy = (
         F.when(F.col("pre") & F.col("pre_id").isNotNull(), "pre_resolved").when(F.col("file_id").isNotNull(), "same_file").when(F.col("args_id").isNotNull(), "arg_count")
         .when(F.col("candidates") == 1, "name_unique").when(F.col("candidates").isNull() & F.col("ext_id").isNotNull(), "external")
