@@ -134,10 +134,8 @@ def t11_topological_levels(spark, sf_dir):
 
 T11_SQL = """with recursive n as (select src id from extends_edge union select dst from extends_edge),
 walk as (select id, 0 lvl from n where id not in (select dst from extends_edge) union select e.dst, w.lvl + 1 from walk w join extends_edge e on e.src = w.id where w.lvl < 500),
-bad as (select src id from extends_edge where src in (select a.src from extends_edge a) and exists (select 1 from reach r where r.a = src and r.b = src) union select b from reach where exists (select 1 from reach r2 where r2.a = reach.a and r2.b = reach.a)),
 reach as (select src a, dst b from extends_edge union select r.a, e.dst from reach r join extends_edge e on e.src = r.b)
 select n.id, case when n.id in (select b from reach x where exists (select 1 from reach y where y.a = x.a and y.b = x.a)) then -1 else (select cast(max(lvl) as int) from walk w where w.id = n.id) end as "level" from n"""
-T11_SQL = T11_SQL.replace(T11_SQL[T11_SQL.index("bad as") : T11_SQL.index("reach as")], "")
 
 
 def t12_forest_degrees(spark, sf_dir):

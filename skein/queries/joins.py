@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars as S
 from skein.lens import view, with_views
 from skein.operators import lookups as L
-from skein.operators.traverse import ancestors
-from skein.storage import Scratch, read_table
+from skein.storage import read_table
 
 Q: dict = {}
 SQL: dict = {}
@@ -37,8 +36,8 @@ def j02_referenced(spark, sf):
     return view(spark, sf, "cls").select("id").join(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi")
 
 
-@query("""with o as (select rel_path p, max(mod_time) m, max(size) s from files where hash_no <> 0 group by 1), n as (select rel_path p, max(mod_time) m, max(size + case when hash_no = 1 then 1 else 0 end) s from files where hash_no <> 2 group by 1)
-select coalesce(o.p, n.p) path, case when o.p is null then 'added' when n.p is null then 'deleted' else 'modified' end status from o full join n on o.p = n.p where o.p is null or n.p is null or o.m is distinct from n.m or o.s is distinct from n.s""".replace("from files where", "from (select *, length(rel_path) % 11 hash_no from files) x where"))
+@query("""with x as (select *, length(rel_path) % 11 hash_no from files), o as (select rel_path p, max(mod_time) m, max(size) s from x where hash_no <> 0 group by 1), n as (select rel_path p, max(mod_time) m, max(size + case when hash_no = 1 then 1 else 0 end) s from x where hash_no <> 2 group by 1)
+select coalesce(o.p, n.p) path, case when o.p is null then 'added' when n.p is null then 'deleted' else 'modified' end status from o full join n on o.p = n.p where o.p is null or n.p is null or o.m is distinct from n.m or o.s is distinct from n.s""")
 def j03_changed_files(spark, sf):
     """Files added, modified or deleted between a stored fingerprint and a scan, by time and size."""
     f = read_table(spark, sf, "files").withColumn("no", F.length("rel_path") % 11)
@@ -67,7 +66,7 @@ def j06_caller(spark, sf):
 
 @query("""select k, line, route_id from (select r.k, r.line, o.id route_id, row_number() over (partition by r.k, r.line, r.caller, r.path order by o.id) rn from remote_call r join (select * from route where method <> 'CLI') o
 on len(string_split(o.path, '/')) = len(string_split(r.path, '/')) and o.path = r.path and (r.method = '' or upper(r.method) = o.method)) where rn = 1
-union all select distinct 0, 0, id from route where ends_with(path, '/**') and method <> 'CLI' and exists (select 1 from remote_call r where starts_with(r.path, left(path, length(path) - 2)) and (r.method = '' or upper(r.method) = route.method))""".replace("exists (select 1 from remote_call r where starts_with(r.path, left(path, length(path) - 2))", "exists (select 1 from remote_call r where starts_with(r.path, left(route.path, length(route.path) - 2))"))
+union all select distinct 0, 0, id from route where ends_with(path, '/**') and method <> 'CLI' and exists (select 1 from remote_call r where starts_with(r.path, left(route.path, length(route.path) - 2)) and (r.method = '' or upper(r.method) = route.method))""")
 def j09_route_match(spark, sf):
     """First route of each remote call (equal path, method empty or equal), and the catch-all routes that some call meets.
     Paths join on equality; catch-alls on their literal prefix of segments."""
@@ -111,7 +110,7 @@ def j19_emit_on(spark, sf):
     return emit.join(c.where("called_name = 'then'").select(F.col("call_id").alias("listener"), "receiver_expr", "file_path"), ["receiver_expr", "file_path"]).select("publisher", "listener")
 
 
-@query("""with m as (select regexp_replace(qualified_name, '\\.[^.]*$', '') o, count(*) n from fn group by 1) select 'file' kind, file_path parent, id child from fn union all select 'class', c.id, f.id from fn f join cls c on c.qualified_name = regexp_replace(f.qualified_name, '\\.[^.]*$', '')""")
+@query("""select 'file' kind, file_path parent, id child from fn union all select 'class', c.id, f.id from fn f join cls c on c.qualified_name = regexp_replace(f.qualified_name, '\\.[^.]*$', '')""")
 def j23_contains(spark, sf):
     fn, cls = view(spark, sf, "fn"), view(spark, sf, "cls")
     a = fn.select(F.lit("file").alias("kind"), F.col("file_path").alias("parent"), F.col("id").alias("child"))
@@ -160,8 +159,7 @@ def j15_heritage(spark, sf):
     return found.join(n, "child").select("child", "parent", F.when(F.col("n") == 1, 0.85).otherwise(0.70).alias("confidence"))
 
 
-@query("""with recursive up as (select src id, dst a, 1 l from extends_edge union all select u.id, e.dst, l + 1 from up u join extends_edge e on e.src = u.a where l < 5)
-select p.l_suppkey service, count(*) n from remote_call r join (select distinct l_suppkey from lineitem) p on p.l_suppkey = r.service group by 1""".replace("with recursive up as (select src id, dst a, 1 l from extends_edge union all select u.id, e.dst, l + 1 from up u join extends_edge e on e.src = u.a where l < 5)\n", ""))
+@query("select service, count(*) n from remote_call group by 1")
 def j12_remote_services(spark, sf):
     """Remote calls per external service."""
     return view(spark, sf, "remote_call").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
