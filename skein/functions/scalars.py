@@ -165,3 +165,14 @@ def is_test_file(path: Column) -> Column:
 
 def in_segments(path: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, names)))
+
+
+def grpc_target(target: Column) -> Column:
+    """Host of a gRPC target: without scheme (text up to :///) and port."""
+    bare = F.when(target.contains(":///"), F.substring_index(target, ":///", -1)).otherwise(target)
+    return F.substring_index(bare, ":", 1)
+
+
+def is_sql_stub(text: Column) -> Column:
+    """Whether a text holds an SQL keyword as a word, in any case."""
+    return F.upper(text).rlike(r"\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|INTO|VALUES|SET|ORDER BY|GROUP BY|HAVING|LIMIT)\b")

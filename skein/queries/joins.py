@@ -165,6 +165,54 @@ def j12_remote_services(spark, sf):
     return view(spark, sf, "remote_call").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""select r.k, r.line, min(o.id) route_id, case when r.caller in (select src from handles) then 0.9 else 0.85 end confidence from remote_call r join route o on o.framework <> 'feign' and lower(o.path) = lower(r.path) and upper(o.method) = upper(r.method) and r.method <> '' group by r.k, r.line, r.caller""")
+def j11_consumer_provider(spark, sf):
+    """Provider of each remote call by method and path, surer where the caller handles a route itself."""
+    calls = view(spark, sf, "remote_call").where("method <> ''").select("k", "line", "caller", F.lower("path").alias("p"), F.upper("method").alias("m"))
+    routes = view(spark, sf, "route").where("framework <> 'feign'").select(F.lower("path").alias("p"), F.upper("method").alias("m"), "id")
+    local = view(spark, sf, "handles").select(F.col("src").alias("caller"), F.lit(1).alias("local")).distinct()
+    hit = calls.join(routes, ["p", "m"]).groupBy("k", "line", "caller").agg(F.min("id").alias("route_id")).join(local, "caller", "left")
+    return hit.select("k", "line", "route_id", F.when(F.col("local") == 1, 0.9).otherwise(0.85).alias("confidence"))
+
+
+@query("""select p.event_id publisher, l.event_id listener, case when p.value < 50 then 0.9 else 0.85 end confidence from (select * from events where event_id < 300 and event_type = 'signup') p join events l on l.event_id < 300 and l.user_id = p.user_id and l.event_type = 'error' and l.ts > p.ts""")
+def j18_event_dispatch(spark, sf):
+    """Publishers and the later listeners of the same user, among the stated first events."""
+    e = read_table(spark, sf, "events").where("event_id < 300")
+    p = e.where("event_type = 'signup'").select(F.col("event_id").alias("publisher"), "user_id", F.col("ts").alias("t0"), "value")
+    both = p.join(e.where("event_type = 'error'").select(F.col("event_id").alias("listener"), "user_id", "ts"), "user_id").where("ts > t0")
+    return both.select("publisher", "listener", F.when(F.col("value") < 50, 0.9).otherwise(0.85).alias("confidence"))
+
+
+@query("select a.name_id, a.owner, c.file_path, a.layer from annotation a join cls c on c.id = a.owner")
+def j22_annotation_nodes(spark, sf):
+    return view(spark, sf, "annotation").join(view(spark, sf, "cls").select(F.col("id").alias("owner"), "file_path"), "owner").select("name_id", "owner", "file_path", "layer")
+
+
+@query("select distinct e.src file, b.file_path target from import_edge e join (select distinct file_path from fn) b on b.file_path = e.dst")
+def j14_imports(spark, sf):
+    known = view(spark, sf, "fn").select(F.col("file_path").alias("dst")).distinct()
+    return view(spark, sf, "import_edge").join(known, "dst").select(F.col("src").alias("file"), F.col("dst").alias("target")).distinct()
+
+
+@query("""with recursive up as (select src id, dst a, 1 l from extends_edge union all select u.id, e.dst, l + 1 from up u join extends_edge e on e.src = u.a where l < 5),
+m as (select c.id owner, f.name, f.id from fn f join cls c on c.qualified_name = regexp_replace(f.qualified_name, '\\.[^.]*$', '')), w as (select distinct c.id, x.called_name n from calls x join cls c on c.qualified_name = regexp_replace(x.caller_name, '\\.[^.]*$', '') where x.called_name is not null),
+h as (select w.id class_id, w.n name, m.id method_id, row_number() over (partition by w.id, w.n order by u.l, m.id) k from w join up u on u.id = w.id and u.a <> w.id join m on m.owner = u.a and m.name = w.n)
+select class_id, name, method_id from h where k = 1""")
+def f14_inherited(spark, sf):
+    """Names called in a class that an ancestor (five levels at most) defines: the nearest definition."""
+    from skein.operators.traverse import ancestors
+    from skein.storage import Scratch
+
+    cls, fn = view(spark, sf, "cls").select("id", "qualified_name"), view(spark, sf, "fn")
+    owner = lambda c: S.owner_name(F.col(c)).alias("qualified_name")
+    asked = read_table(spark, sf, "calls").where("called_name is not null").select(owner("caller_name"), F.col("called_name").alias("name")).distinct().join(cls, "qualified_name").select(F.col("id").alias("class_id"), "name").distinct()
+    methods = fn.select(owner("qualified_name"), "name", F.col("id").alias("method_id")).join(cls.withColumnRenamed("id", "ancestor"), "qualified_name").select("ancestor", "name", "method_id")
+    up = ancestors(view(spark, sf, "extends_edge"), 5, Scratch(spark)).withColumnRenamed("id", "class_id")
+    hit = asked.join(up, "class_id").join(methods, ["ancestor", "name"])
+    return hit.groupBy("class_id", "name").agg(F.min(F.struct("level", "method_id")).alias("m")).select("class_id", "name", F.col("m.method_id").alias("method_id"))
+
+
 def queries() -> dict:
     return Q
 

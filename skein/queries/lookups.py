@@ -250,6 +250,49 @@ def l07_vector_top(spark, sf):
     return e.crossJoin(one).select("vec_id", dot.alias("d")).orderBy(F.desc("d"), "vec_id").limit(10).select("vec_id", F.round("d", 3).alias("score"))
 
 
+@query("select t as \"text\", kind, id from (select t, kind, id, row_number() over (partition by t order by r, id) n from (select qualified_name t, 'Function' kind, id, 0 r from fn union all select qualified_name, 'Class', id, 1 from cls)) where n = 1")
+def f02_by_qualified_name(spark, sf):
+    """Node of each qualified name; functions before classes, of several the least id."""
+    part = lambda v, kind, rank: view(spark, sf, v).select(F.col("qualified_name").alias("text"), F.lit(kind).alias("kind"), "id", F.lit(rank).alias("r"))
+    every = part("fn", "Function", 0).unionByName(part("cls", "Class", 1))
+    return every.groupBy("text").agg(F.min(F.struct("r", "id", "kind")).alias("m")).select("text", F.col("m.kind").alias("kind"), F.col("m.id").alias("id"))
+
+
+@query("select c.call_id, f.id from (select distinct call_id, called_name, file_path from calls) c join fn f on f.name = c.called_name and f.file_path = c.file_path")
+def f32_same_file(spark, sf):
+    c = read_table(spark, sf, "calls").select("call_id", F.col("called_name").alias("name"), "file_path").distinct()
+    return c.join(view(spark, sf, "fn").select("id", "name", "file_path"), ["name", "file_path"]).select("call_id", "id")
+
+
+@query("select e.edge_id, 'source_id' as \"end\" from (select distinct edge_id, source_id, target_id from edges) e where source_id is not null and source_id not in (select id from function_nodes where id is not null union select id from class_nodes union select id from external_symbols) union all select e.edge_id, 'target_id' from (select distinct edge_id, source_id, target_id from edges) e where target_id is not null and target_id not in (select id from function_nodes where id is not null union select id from class_nodes union select id from external_symbols)")
+def a10_orphan_edges(spark, sf):
+    """Edge ends that no table knows, at any time."""
+    ids = read_table(spark, sf, "function_nodes").select("id").union(read_table(spark, sf, "class_nodes").select("id")).union(read_table(spark, sf, "external_symbols").select("id")).distinct()
+    e = read_table(spark, sf, "edges").select("edge_id", "source_id", "target_id").distinct()
+    ends = e.select("edge_id", F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("id")) for c in ("source_id", "target_id")])).alias("x")).select("edge_id", "x.end", "x.id")
+    return ends.where("id is not null").join(ids, "id", "left_anti").select("edge_id", "end")
+
+
+@query("select f.name, count(*) n from call_edge e join fn f on f.id = e.dst where e.confidence < 0.5 group by 1 order by n desc, f.name limit 20")
+def a12_low_confidence_names(spark, sf):
+    """The 20 names most often called with low confidence (a top-k report)."""
+    e = view(spark, sf, "call_edge").where("confidence < 0.5").join(view(spark, sf, "fn").select(F.col("id").alias("dst"), "name"), "dst")
+    return e.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(20)
+
+
+@query("select name, array_to_string(list_sort(list(id))[1:5], ',') shown, count(*) n from fn group by 1 having count(*) > 1")
+def l06_candidates(spark, sf):
+    """Names of several functions with the first five ids."""
+    per = view(spark, sf, "fn").groupBy("name").agg(F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, 5), ",").alias("shown"), F.count(F.lit(1)).alias("n"))
+    return per.where("n > 1")
+
+
+@query("select id, list_has_all(['1', '2', '3'], list_distinct(string_split(cast(complexity as varchar), ''))) value from fn where complexity is not null")
+def u04_subset(spark, sf):
+    digits = F.array_distinct(F.filter(F.split(F.col("complexity").cast("string"), ""), lambda x: x != ""))
+    return view(spark, sf, "fn").where("complexity is not null").select("id", L.is_subset(digits, F.array(*map(F.lit, "123"))).alias("value"))
+
+
 def queries() -> dict:
     return Q
 

@@ -37,6 +37,8 @@ ROWS = {
     "f37_enum_constant": ("calls", "call_id", "receiver_expr", S.enum_constant, "regexp_matches(s, '^[A-Z]\\w*\\.[A-Z][A-Z0-9_]*$')"),
     "x36_flow_parts": ("call_edge", "edge_id", "flow_context", lambda c: F.coalesce(F.size(S.flow_parts(c)), F.lit(0)), "coalesce(len(string_split(s, ' - ')), 0)"),
     "x37_params_summary": ("fn", "id", "params", S.params_summary, "'(' || case when coalesce(s, '') = '' then '' else coalesce(array_to_string(list_transform(cast(json_extract_string(s, '$[*].type') as varchar[]), lambda x: coalesce(x, '')), ', '), '') end || ')'"),
+    "x13_grpc_target": ("url", "id", "s", S.grpc_target, "string_split(case when contains(s, ':///') then string_split(s, ':///')[-1] else s end, ':')[1]"),
+    "x06_sql_stub": ("query_node", "id", "sql_text", S.is_sql_stub, "regexp_matches(upper(s), '\\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|INTO|VALUES|SET|ORDER BY|GROUP BY|HAVING|LIMIT)\\b')"),
     "s03_language": ("files", "rel_path", "rel_path", S.language_of, f"case lower(regexp_extract(s, '\\.([^./]+)$', 1)) {_EXTS} else '' end"),
     "s04_test_file": ("files", "rel_path", "rel_path", S.is_test_file, "regexp_matches(string_split(s, '/')[-1], '(Test|Tests|IT)\\.java$|_test\\.go$|^test_.*\\.py$|_test\\.py$|\\.(test|spec)\\.[tj]sx?$')"),
     "s05_test_directory": ("files", "rel_path", "rel_path", lambda c: S.in_segments(c, S.TEST_SEGMENTS), f"list_has_any(string_split(s, '/')[:-2], {list(S.TEST_SEGMENTS)})"),
