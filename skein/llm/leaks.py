@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from skein.llm.fm_index import FMIndex
 
 RUN_WORDS = 15
-#: Exchanged words, GAP or more apart, do not break a run, but are no words of the item: RUN_WORDS others must agree.
+#: Exchanged words, GAP or more apart, do not break a run and count within its RUN_WORDS; its first and last word agree.
 #: So a run has SEED agreeing words in a row: 9 between two exchanged ones, or the longer part beside a single one.
 GAP = 10
-SEED = 8
+SEED = 7
 SHARD_WORDS = 1_000_000
 OTHER = 1
 
@@ -30,7 +30,10 @@ _LOOK_ALIKE = str.maketrans(
 )
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e01ef]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'/\\]")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")
+# Tags by the grammar of their attributes, of any length and over lines; what only looks like a tag within a line.
+_TAG = re.compile(
+    r"""</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.*#/%;-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|\{[^{}]*+\}|[^\s"'<>={}]++))?)*+\s*+/?>|</?[A-Za-z][^<>\n]{0,200}>|<!--|-->"""
+)
 _NUMBERED = re.compile(r"^[ \t]*(?:[>|#*+;-]+[ \t]*)?L?(\d{1,6})(?:[.):|]|[ \t]*[|│:])?[ \t]")
 _PERCENT = re.compile(r"%(2[0-9A-Fa-f]|3[A-Fa-f]|0[AaDd]|[57][BbDdEe])")
 _WORD = re.compile(r"[^\W_]+")
@@ -55,6 +58,22 @@ def _unescape(m: re.Match) -> str:
 def plain_words(text: str | None) -> list[str]:
     """Words (runs of letters or digits) without regard to case, punctuation, white space, line prefixes, markup,
     escapes, invisible and look-alike characters."""
+    return _words(_unescaped(text))
+
+
+def document_words(text: str | None) -> list[str]:
+    """`plain_words`, then the insides of tags that hold RUN_WORDS or more words, as a passage can stand in an attribute.
+    Two empty words before each inside break any run."""
+    s = _unescaped(text)
+    words = _words(s)
+    for m in _TAG.finditer(s) if "<" in s else ():
+        inside = _words(m.group()[1:-1])
+        if len(inside) >= RUN_WORDS:
+            words += ["", "", *inside]
+    return words
+
+
+def _unescaped(text: str | None) -> str:
     s = text or ""
     if "&" in s:
         s = html.unescape(html.unescape(s))
@@ -62,7 +81,10 @@ def plain_words(text: str | None) -> list[str]:
         s = _ESCAPE.sub(_unescape, s)
     if "%" in s:
         s = _PERCENT.sub(" ", s)
-    s = _INVISIBLE.sub("", s)
+    return _INVISIBLE.sub("", s)
+
+
+def _words(s: str) -> list[str]:
     if "<" in s:
         s = _TAG.sub(" ", s)
     s = _without_line_numbers(s)
@@ -93,9 +115,9 @@ def passages(items: list[tuple[int, str]], shared: int = 5) -> dict[int, list[st
     return out
 
 
-def longest_run(same: np.ndarray, gap: int = GAP) -> tuple[int, int, int]:
-    """(begin, length, agreeing words) of the run with most agreeing words; a run begins and ends with a match, and its
-    mismatches are single and `gap` or more apart."""
+def longest_run(same: np.ndarray, gap: int = GAP, by: int = 2) -> tuple[int, int, int]:
+    """(begin, length, agreeing words) of the run with most agreeing words, or with by=1 of the longest; a run begins and
+    ends with a match, and its mismatches are single and `gap` or more apart."""
     edges = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]]).tolist()
     best = (0, 0, 0)
     agreeing = np.append(0, np.cumsum(same)).tolist()
@@ -109,8 +131,9 @@ def longest_run(same: np.ndarray, gap: int = GAP) -> tuple[int, int, int]:
             a += 1
         while z > a and not same[z - 1]:
             z -= 1
-        if agreeing[z] - agreeing[a] > best[2]:
-            best = (a, z - a, agreeing[z] - agreeing[a])
+        run = (a, z - a, agreeing[z] - agreeing[a])
+        if run[by] > best[by]:
+            best = run
     return best
 
 
@@ -165,14 +188,15 @@ def find_in_shard(docs: list[int], lengths: list[int], text: np.ndarray, wanted:
         t = wanted.text[i]
         a, z = max(starts[d], s), min(starts[d + 1], s + len(t))
         same = text[a:z] == t[a - s : z - s]
-        begin, length, agreeing = longest_run(same)
-        if agreeing >= RUN_WORDS:
+        begin, length, _ = longest_run(same, by=1)
+        if length >= RUN_WORDS:
             found.append((docs[d], i, int(a - starts[d] + begin), length))
     return found
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, block: int = 5_000) -> DataFrame:
-    """Runs in which a document shares RUN_WORDS or more words with an item: doc_id, item_id, first_word, n_words.
+    """Runs of RUN_WORDS or more words, exchanged ones among them, that a document shares with an item: doc_id, item_id,
+    first_word (in `document_words`), n_words.
 
     documents: doc_id, text; items: item_id, item_text, a stated set of test texts that is taken in blocks of `block`.
     Each task indexes its documents in shards of about `shard_words` words (a longer document is a shard of its own),
@@ -212,7 +236,7 @@ def _search(documents: DataFrame, wanted: Passages, shard_words: int) -> DataFra
 
         for pdf in batches:
             for doc, text in zip(pdf.doc_id, pdf.text):
-                words = plain_words(text)
+                words = document_words(text)
                 docs.append(doc)
                 lengths.append(len(words))
                 parts.append(np.fromiter((symbol(w, OTHER) for w in words), np.int64, len(words)))

@@ -68,3 +68,31 @@ def test_seed_length_covers_every_run():
             if longest_run(same)[2] >= leaks.RUN_WORDS:
                 runs = "".join("1" if s else "0" for s in same).split("0")
                 assert max(map(len, runs)) >= leaks.SEED
+
+
+def test_exchanged_words_count_within_the_run(spark):
+    swap = lambda n, *at: " ".join("other" if i in at else w for i, w in enumerate(WORDS[:n]))
+    found = [swap(15, k) for k in range(1, 14)] + [swap(15, 1, 11), swap(15, 3, 13), swap(16, 4, 14)]
+    clean = [swap(15, 0), swap(15, 14), swap(15, 3, 12), swap(14, 7), swap(16, 0, 15)]
+    docs = [*enumerate(found), *((100 + i, t) for i, t in enumerate(clean))]
+    got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, item_text string"))
+    assert {r.doc_id for r in got.collect()} == set(range(len(found)))
+
+
+def test_longest_run_by_length_against_brute_force():
+    rnd = random.Random(3)
+    for _ in range(300):
+        same = np.array([rnd.random() < 0.85 for _ in range(rnd.randint(0, 45))], bool)
+        spans = [(a, z) for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a] and same[z - 1]]
+        miss = lambda a, z: [i for i in range(a, z) if not same[i]]
+        assert longest_run(same, by=1)[1] == max((z - a for a, z in spans if all(y - x >= 10 for x, y in zip(miss(a, z), miss(a, z)[1:]))), default=0)
+
+
+def test_long_and_wrapped_tags():
+    half = len(WORDS) // 2
+    a, z = " ".join(WORDS[:half]), " ".join(WORDS[half:])
+    for tag in (f'<span class="{"wide " * 80}">', '<a\n  href="x y"\n  title=\'z > w\'\n  disabled\n>', '<div onclick={run(1)}\n/>', "<" + "b" * 300 + ">"):
+        assert plain_words(f"{a} {tag} {z}") == plain_words(ITEM), tag
+    assert plain_words("a <b, and then\nmany words > c") == "a b and then many words c".split()
+    inside = leaks.document_words(f'<img\n alt="{ITEM}">')
+    assert " ".join(plain_words(ITEM)) in " ".join(inside) and leaks.document_words('<img alt="few words">') == []
