@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.hierarchy import build_hierarchy, full_paths
+from skein.operators.hierarchy import build_hierarchy, descendants_of, full_paths
 from skein.operators.lookup import lookup_join
 from skein.storage import Scratch, read_table
 
@@ -41,12 +41,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, number of descendants and the preorder interval of each class of a tree."""
+    """Path and number of descendants of each class of a tree; `p2_classes` has the classes on and below cycles too."""
     h = build_hierarchy(class_links(spark, sf_dir), Scratch(spark))
     out = h.nodes.where("head is not null").join(full_paths(h), "node")
     return out.select(F.col("node").alias("class_id"), "root_id", "depth", "path", (F.col("size") - 1).alias("n_descendants"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linked class with depth -1 on a cycle and -2 below one (root_id '', no path), else its path and its interval:
+    the descendants are the classes of the same root_id with `first` + 1 .. `first` + n_descendants as their `first`."""
+    h = build_hierarchy(class_links(spark, sf_dir), Scratch(spark))
+    out = h.nodes.join(full_paths(h), "node", "left")
+    return out.select(F.col("node").alias("class_id"), "root_id", "depth", "path", "first", (F.col("size") - 1).alias("n_descendants"))
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every class of a tree, one row each."""
+    h = build_hierarchy(class_links(spark, sf_dir), Scratch(spark))
+    return descendants_of(h, h.nodes).select(F.col("node").alias("class_id"), F.col("descendant").alias("descendant_id"))
+
+
 _LINKS = r"""
 cls as (select distinct id, name, qualified_name qn, file_path, source_project project from class_nodes where id is not null),
 h as (select distinct trim(child_name) child_name, nullif(child_qualified, '') cq, nullif(parent_qualified, '') pq, file_path,
@@ -85,7 +99,7 @@ select d.id class_id, root_id, cast(depth as integer) depth, path, n_descendants
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy}
+    return {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_classes": p2_classes, "p2_descendants": p2_descendants}
 
 
 def oracle_sql() -> dict:

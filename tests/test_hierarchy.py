@@ -6,6 +6,7 @@ import pytest
 
 from skein.operators import hierarchy as H
 from skein.operators.hierarchy import build_hierarchy, descendants_of, full_paths
+from skein.queries import hierarchy as Q
 
 
 def brute(links):
@@ -64,3 +65,15 @@ def test_deep_chain_wide_parent_and_nulls(spark, monkeypatch):
 def test_empty(spark):
     h = build_hierarchy(spark.createDataFrame([], "child string, parent string"))
     assert h.nodes.count() == 0 and full_paths(h).count() == 0
+
+
+def test_queries_give_every_class_and_all_descendants(spark, monkeypatch):
+    links = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("self", "self")]
+    monkeypatch.setattr(Q, "class_links", lambda spark, sf: spark.createDataFrame(links, "child string, parent string"))
+    want = brute(links)
+    rows = {r.class_id: r for r in Q.queries()["p2_classes"](spark, "").collect()}
+    assert {k: (r.root_id, r.depth, r.path) for k, r in rows.items()} == want
+    below = {(a, n) for n, v in want.items() if v[2] for a in v[2].split("/")[:-1]}
+    assert sorted(map(tuple, Q.queries()["p2_descendants"](spark, "").collect())) == sorted(below)
+    trees = [r for r in rows.values() if r.depth >= 0]
+    assert {(a.class_id, n.class_id) for a in trees for n in trees if a.root_id == n.root_id and a.first < n.first <= a.first + a.n_descendants} == below
