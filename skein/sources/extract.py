@@ -59,6 +59,8 @@ def python_facts(path: str, text: str) -> list[tuple]:
 
 # Words before ( that are no calls.
 _NO_CALL = set("if for while switch catch return func function synchronized super new throw else do try select go defer typeof in of await yield case assert constructor range".split())
+# What an import clause is made of.
+_IMPORT = {"ID", "STR", *"{ } , * . = ( static as from type typeof require _".split()}
 
 
 def brace_facts(language: str, path: str, text: str) -> list[tuple]:
@@ -112,21 +114,24 @@ def brace_facts(language: str, path: str, text: str) -> list[tuple]:
             scopes.append((close.get(i, n), name, what))
         elif k == "package" and language == "java" and not scopes:
             package, i = dotted(i + 1)
-        elif k == "import" and kind(i + 1) != "(":
-            j = i + 1
+        elif k == "import" and kind(i + 1) != "(" and not (kind(i + 1) == "." and language in ("javascript", "typescript")):
+            j, braced = i + 1, 0
             names, module = [], ""
-            while kind(j) not in ("", ";") and tokens[j].line <= t.line + 20:
+            # To the module string or the end of the clause: any word may stand in its braces, few outside.
+            while j < braced or kind(j) in _IMPORT or word(j) in _IMPORT:
                 if kind(j) == "STR":
                     module = word(j).strip("\"'`")
                     break
                 if kind(j) == "ID":
                     names.append(word(j))
+                if kind(j) == "{":
+                    braced = max(braced, close.get(j, 0))
                 j += 1
             if language == "java":
                 module, _ = dotted(i + 2 if kind(i + 1) == "static" else i + 1)
                 names = [module.rsplit(".", 1)[-1]]
             rows += [("import", x, x, t.line, t.line, module, "") for x in names or [module.rsplit("/", 1)[-1]]]
-            i = j
+            i = j if kind(j) in ("STR", ";") else j - 1
         elif k == "import":
             for j in range(i + 2, close.get(i + 1, i + 1)):
                 if kind(j) == "STR":
@@ -156,7 +161,7 @@ def brace_facts(language: str, path: str, text: str) -> list[tuple]:
         elif k == "(" and (kind(i - 1) == "ID" or word(i - 1).isidentifier() and word(i - 1) not in _NO_CALL) or k == "(" and word(i - 1) == "constructor":
             name, e = word(i - 1), close.get(i, n - 1)
             j = e + 1
-            while kind(j) in ("throws", "ID", ".", ",", ":", "<", ">", "[", "]", "*", "|", "void", "string", "number", "boolean", "any", "error") and kind(j) != "" and j < e + 24:
+            while kind(j) in ("throws", "ID", ".", ",", ":", "<", ">", "[", "]", "*", "|", "void", "string", "number", "boolean", "any", "error") and kind(j) != "":
                 j += 1
             if language == "go" and kind(j) == "(":
                 j = close.get(j, j) + 1

@@ -34,6 +34,22 @@ def test_facts_of_each_language():
     assert python_facts("m/k.py", "def f(") == []
 
 
+def test_imports_and_headers_of_any_length():
+    many = [f"name{i}" for i in range(60)]
+    text = "import {\n" + ",\n".join(many) + ",\n} from './wide';\nimport type D, * as all from 'm'\nimport './side'\nconst u = import.meta.url\nclass A { go() { return 1; } }\n"
+    rows = brace_facts("typescript", "w/a.ts", text)
+    assert {r[1] for r in rows if r[0] == "import" and r[5] == "./wide"} >= set(many) and not [r for r in rows if r[0] == "import" and not r[5]]
+    assert {r[5] for r in rows if r[0] == "import"} == {"./wide", "m", "./side"} and names(rows, "class") == {"w.a.A"}
+    plain = brace_facts("typescript", "w/a.ts", "import { a, b } from './m'\n")
+    assert {r[1] for r in rows if r[0] == "import" and r[5] == "./wide"} - set(many) == {r[1] for r in plain} - {"a", "b"}
+    thrown = ", ".join(f"a.b.E{i}" for i in range(20))
+    j = brace_facts("java", "p/Foo.java", "package a;\nimport x.Y\npublic class Foo {\n  void run(int x) throws " + thrown + " { go(); }\n  Map<K, V> of() { return null; }\n}\n")
+    assert names(j, "function") == {"a.Foo.run", "a.Foo.of"} and ("call", "go", "a.Foo.run") in {r[:3] for r in j} and names(j, "class") == {"a.Foo"}
+    ret = "Map<" * 15 + "string" + ", A>" * 15
+    t = brace_facts("typescript", "w/a.ts", f"function f(a): {ret} {{ q(a); }}\n")
+    assert names(t, "function") == {"w.a.f"} and ("call", "q", "w.a.f") in {r[:3] for r in t}
+
+
 def test_file_facts_edge_cases(spark):
     df = spark.createDataFrame([("a.py", None, "n"), ("b.xyz", b"x", "n"), (None, b"x", "n"), ("c.java", b"", "n"), ("d.go", b"package p\nfunc (", "n")], "rel_path string, content binary, name string")
     assert file_facts(df).where("fact = 'function'").count() == 0
