@@ -76,11 +76,20 @@ def t04_impact(spark, sf_dir):
 
 def t05_route_chain(spark, sf_dir):
     """Functions behind the routes of one framework: the last handler is the business one, others are middleware."""
-    route, handles = view(spark, sf_dir, "route").where("framework = 'grpc' and k % 70 = 0"), view(spark, sf_dir, "handles")
+    return _route_chain(spark, sf_dir, view(spark, sf_dir, "route").where("framework = 'grpc' and k % 70 = 0"), 2)
+
+
+def t05_route_chain_whole(spark, sf_dir):
+    """Functions behind every route, ten levels deep. Its SQL would be too slow; tests compare with brute force."""
+    return _route_chain(spark, sf_dir, view(spark, sf_dir, "route"), 10)
+
+
+def _route_chain(spark: SparkSession, sf_dir: str, route: DataFrame, depth: int) -> DataFrame:
+    handles = view(spark, sf_dir, "handles")
     last = handles.groupBy("dst").agg(F.max_by("src", "handler_order").alias("handler"), F.max("handler_order").alias("top"))
     chosen = route.select(F.col("id").alias("route_id")).join(last.withColumnRenamed("dst", "route_id"), "route_id")
     fn, calls, sent = (view(spark, sf_dir, v) for v in ("fn", "call_edge", "dispatch_edge"))
-    sub = call_chain(fn, calls, sent, chosen.select(F.col("handler").alias("id")).distinct(), 2, False, 0.0)
+    sub = call_chain(fn, calls, sent, chosen.select(F.col("handler").alias("id")).distinct(), depth, False, 0.0)
     found = chosen.join(sub.nodes.withColumnRenamed("root", "handler"), "handler").select("route_id", "id", "level")
     return found.unionByName(chosen.select("route_id", F.col("handler").alias("id"), F.lit(0).alias("level")))
 
@@ -214,7 +223,7 @@ def t13_process_trace(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (t01_call_chain_forward, t01_call_chain_edges, t01_call_chain_reverse, t02_truncated, t04_impact, t05_route_chain, t05_middleware, t06_cross_chain, t07_method_in_hierarchy, t10_ancestry, t11_topological_levels, t12_forest_degrees, t13_process_trace, m01_core, m02_dry, m03_compact, m05_chains, m07_edge_projection)}
+    return {f.__name__: f for f in (t01_call_chain_forward, t01_call_chain_edges, t01_call_chain_reverse, t02_truncated, t04_impact, t05_route_chain, t05_route_chain_whole, t05_middleware, t06_cross_chain, t07_method_in_hierarchy, t10_ancestry, t11_topological_levels, t12_forest_degrees, t13_process_trace, m01_core, m02_dry, m03_compact, m05_chains, m07_edge_projection)}
 
 
 def oracle_sql() -> dict:

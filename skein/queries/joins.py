@@ -178,7 +178,16 @@ def j11_consumer_provider(spark, sf):
 @query("""select p.event_id publisher, l.event_id listener, case when p.value < 50 then 0.9 else 0.85 end confidence from (select * from events where event_id < 300 and event_type = 'signup') p join events l on l.event_id < 300 and l.user_id = p.user_id and l.event_type = 'error' and l.ts > p.ts""")
 def j18_event_dispatch(spark, sf):
     """Publishers and the later listeners of the same user, among the stated first events."""
-    e = read_table(spark, sf, "events").where("event_id < 300")
+    return _event_dispatch(read_table(spark, sf, "events").where("event_id < 300"))
+
+
+@query("""select p.event_id publisher, l.event_id listener, case when p.value < 50 then 0.9 else 0.85 end confidence from events p join events l on l.user_id = p.user_id and l.event_type = 'error' and l.ts > p.ts where p.event_type = 'signup'""")
+def j18_event_dispatch_whole(spark, sf):
+    """Publishers and the later listeners of the same user, among all events."""
+    return _event_dispatch(read_table(spark, sf, "events"))
+
+
+def _event_dispatch(e):
     p = e.where("event_type = 'signup'").select(F.col("event_id").alias("publisher"), "user_id", F.col("ts").alias("t0"), "value")
     both = p.join(e.where("event_type = 'error'").select(F.col("event_id").alias("listener"), "user_id", "ts"), "user_id").where("ts > t0")
     return both.select("publisher", "listener", F.when(F.col("value") < 50, 0.9).otherwise(0.85).alias("confidence"))

@@ -147,7 +147,19 @@ b as (select w, min(r) r from e group by w) select e.w wanted, e.id, count(*) ov
 def f27_find_route(spark, sf):
     """Exact paths first, else paths that contain the text; the stated texts are a small broadcast set."""
     route = view(spark, sf, "route")
-    wanted = route.where("k % 70 = 0").select(F.col("path").alias("wanted")).distinct()
+    return _find_route(route, route.where("k % 70 = 0"))
+
+
+@query("""with w as (select distinct path w from route), e as (select w, id, case when path = w then 0 else 1 end r from w join route on path = w or (contains(path, w) and starts_with(w, '/') and method not in ('CLI', 'TOOL'))),
+b as (select w, min(r) r from e group by w) select e.w wanted, e.id, count(*) over (partition by e.w) n_found from e join b on b.w = e.w and b.r = e.r""")
+def f27_find_route_whole(spark, sf):
+    """The same for the path of every route."""
+    route = view(spark, sf, "route")
+    return _find_route(route, route)
+
+
+def _find_route(route, asked):
+    wanted = asked.select(F.col("path").alias("wanted")).distinct()
     exact = route.join(wanted, F.col("path") == F.col("wanted")).select("wanted", "id")
     rest = wanted.join(exact, "wanted", "left_anti")
     part = route.join(rest, F.col("path").contains(F.col("wanted")) & F.col("wanted").startswith("/") & ~F.col("method").isin("CLI", "TOOL")).select("wanted", "id")
