@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import Scratch
+
 from skein.llm.fm_index import FMIndex
 
 RUN_WORDS = 15
@@ -97,22 +98,31 @@ def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?:])\s+|\n+", text.strip()) if s]
 
 
-def passages(items: list[tuple[int, str]], shared: int = 5) -> dict[int, list[str]]:
-    """Words of each item without its opening sentences that `shared` or more different items have in common."""
-    texts = {t for _, t in items if t}
-    opening = Counter()
-    for t in texts:
-        s = _sentences(t)
-        for k in range(1, min(4, len(s)) + 1):
-            opening[tuple(" ".join(plain_words(x)) for x in s[:k])] += 1
-    out = {}
-    for item, t in items:
-        s = _sentences(t or "")
-        k = 0
-        while k < min(4, len(s)) and opening[tuple(" ".join(plain_words(x)) for x in s[: k + 1])] >= shared:
-            k += 1
-        out[item] = plain_words("\n".join(s[k:]) if k else t)
-    return out
+def _openings(text: str | None, most: int) -> list[str]:
+    """Words of a text's first sentence, of its first two, and so on."""
+    s = _sentences(text or "")
+    return ["\n".join(" ".join(plain_words(x)) for x in s[:k]) for k in range(1, min(most, len(s)) + 1)]
+
+
+def shared_openings(items: DataFrame, shared: int = 5, most: int = 4) -> DataFrame:
+    """item_id, item_text, skip: every distinct text of every item and how many opening sentences (`most` at most, the
+    length an instruction may have) it has in common with `shared` or more different texts of the whole table."""
+    texts = items.where("item_id is not null and item_text is not null").select("item_id", "item_text").distinct()
+
+    @F.pandas_udf("array<string>")
+    def openings(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: _openings(t, most))
+
+    each = texts.select("item_text").distinct().select("item_text", F.posexplode(openings("item_text")).alias("k", "opening"))
+    common = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("opening")
+    # A text's opening of k sentences is common only if that of k - 1 is.
+    skip = each.join(common, "opening").groupBy("item_text").agg((F.max("k") + 1).alias("skip"))
+    return texts.join(skip, "item_text", "left").select("item_id", "item_text", F.coalesce("skip", F.lit(0)).alias("skip"))
+
+
+def passage_words(text: str, skip: int) -> list[str]:
+    """Words of an item behind its first `skip` sentences."""
+    return plain_words("\n".join(_sentences(text)[skip:]) if skip else text)
 
 
 def longest_run(same: np.ndarray, gap: int = GAP, by: int = 2) -> tuple[int, int, int]:
@@ -137,29 +147,75 @@ def longest_run(same: np.ndarray, gap: int = GAP, by: int = 2) -> tuple[int, int
     return best
 
 
+def long_runs(same: np.ndarray, least: int = RUN_WORDS, gap: int = GAP) -> list[tuple[int, int]]:
+    """(begin, length) of all runs as in `longest_run` of `least` or more words that lie in no longer one."""
+    edges = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]]).tolist()
+    found: list[tuple[int, int]] = []
+    for k in range(len(edges) - 1):
+        j = k + 1
+        while j < len(edges) - 1 and (j == k + 1 or edges[j] - edges[j - 1] >= gap):
+            j += 1
+        a, z = edges[k] + 1, edges[j]
+        while a < z and not same[a]:
+            a += 1
+        while z > a and not same[z - 1]:
+            z -= 1
+        if z - a >= least and (not found or a + (z - a) > sum(found[-1])):
+            found.append((a, z - a))
+    return found
+
+
 class Passages:
-    """The stated texts as symbols, and their seeds (distinct runs of SEED words) with all their places."""
+    """The stated texts (item, words) as symbols, and their seeds (distinct runs of SEED words) with all their places."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = passages(items)
+    def __init__(self, texts: list[tuple[int, list[str]]]):
         self.symbol: dict[str, int] = {}
-        for ws in words.values():
+        for _, ws in texts:
             for w in ws:
                 self.symbol.setdefault(w, len(self.symbol) + 2)
-        self.text = {i: np.array([self.symbol[w] for w in ws], np.int64) for i, ws in words.items()}
+        self.item = [i for i, _ in texts]
+        self.text = [np.array([self.symbol[w] for w in ws], np.int64) for _, ws in texts]
         places: dict[tuple, list[tuple[int, int]]] = {}
-        for i, t in self.text.items():
+        for i, t in enumerate(self.text):
             for p in range(len(t) - SEED + 1):
                 places.setdefault(tuple(t[p : p + SEED].tolist()), []).append((i, p))
         self.seeds = np.array(list(places), np.int64).reshape(-1, SEED)
         counts = [len(v) for v in places.values()]
         self.begin = np.append(0, np.cumsum(counts)).astype(np.int64)
         flat = [x for v in places.values() for x in v]
-        self.place_item = np.array([i for i, _ in flat], np.int64)
+        self.place_text = np.array([i for i, _ in flat], np.int64)
         self.place_at = np.array([p for _, p in flat], np.int64)
 
 
-def find_in_shard(docs: list[int], lengths: list[int], text: np.ndarray, wanted: Passages) -> list[tuple[int, int, int, int]]:
+def own_runs(runs: list[tuple]) -> list[tuple]:
+    """Of the runs (doc, item, first word, words) of one document those that lie in no longer run of another item.
+
+    Test items share the wording of their templates: inside the copy of one item the words of another agree for a
+    stretch, its own words standing where the other's would be. Such a stretch is a passage of the first item only. Runs
+    over the same words are all kept.
+    """
+    order = sorted(set(runs), key=lambda r: (r[2], -r[3], r[1]))
+    kept = []
+    best, best_item, second = -1, None, -1  # greatest end so far, its item, greatest end of the other items
+    i = 0
+    while i < len(order):
+        j = i
+        while j < len(order) and order[j][2:] == order[i][2:]:
+            j += 1
+        end = order[i][2] + order[i][3]
+        kept += [r for r in order[i:j] if (second if r[1] == best_item else best) < end]
+        for r in order[i:j]:
+            if r[1] == best_item:
+                best = max(best, end)
+            elif end > best:
+                best, best_item, second = end, r[1], best
+            else:
+                second = max(second, end)
+        i = j
+    return kept
+
+
+def find_in_shard(docs: list, lengths: list[int], text: np.ndarray, wanted: Passages) -> list[tuple[int, int, int, int]]:
     """(doc, item, first word, words) of runs in one shard. text: the documents' symbols one after the other, OTHER for
     words of no item. Neighbouring OTHERs count as one symbol in the index, as no seed holds one."""
     if not len(text) or not len(wanted.seeds):
@@ -181,49 +237,79 @@ def find_in_shard(docs: list[int], lengths: list[int], text: np.ndarray, wanted:
     many = wanted.begin[which + 1] - wanted.begin[which]
     row = np.repeat(np.arange(len(which)), many)
     place = np.repeat(wanted.begin[which], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    item, shift = wanted.place_item[place], origin[at[row]] - wanted.place_at[place]
-    number = np.searchsorted(starts, origin[at[row]], side="right") - 1
-    found = []
-    for d, i, s in np.unique(np.stack([number, item, shift], 1), axis=0).tolist():
+    number, shift = wanted.place_text[place], origin[at[row]] - wanted.place_at[place]
+    doc = np.searchsorted(starts, origin[at[row]], side="right") - 1
+    found: list[tuple] = []
+    of_doc: list[tuple] = []
+    here = -1
+    for d, i, s in np.unique(np.stack([doc, number, shift], 1), axis=0).tolist():
+        if d != here:
+            found += own_runs(of_doc)
+            here, of_doc = d, []
         t = wanted.text[i]
         a, z = max(starts[d], s), min(starts[d + 1], s + len(t))
         same = text[a:z] == t[a - s : z - s]
-        begin, length, _ = longest_run(same, by=1)
-        if length >= RUN_WORDS:
-            found.append((docs[d], i, int(a - starts[d] + begin), length))
-    return found
+        of_doc += [(docs[d], wanted.item[i], int(a - starts[d] + begin), length) for begin, length in long_runs(same)]
+    return found + own_runs(of_doc)
+
+
+RUNS = "doc_id long, item_id long, first_word int, n_words int"
+#: A block of items is broadcast, so it is bounded by rows and by characters (but holds one item at least).
+BLOCK_CHARS = 50_000_000
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, block: int = 5_000) -> DataFrame:
     """Runs of RUN_WORDS or more words, exchanged ones among them, that a document shares with an item: doc_id, item_id,
     first_word (in `document_words`), n_words.
 
-    documents: doc_id, text; items: item_id, item_text, a stated set of test texts that is taken in blocks of `block`.
-    Each task indexes its documents in shards of about `shard_words` words (a longer document is a shard of its own),
-    searches all seeds backwards, locates them and extends each along its diagonal; see `longest_run` for what a run
-    is. Whole texts are indexed. Nothing is shuffled.
+    documents: doc_id, text; items: item_id, item_text, a stated set of test texts that is taken in blocks of about
+    `block`. Each task indexes its documents in shards of about `shard_words` words (a longer document is a shard of its
+    own), searches all seeds backwards, locates them and extends each along its diagonal; see `longest_run` for what a
+    run is, `own_runs` for the runs inside the copy of another item, which are left out. Whole texts are indexed. With
+    one block nothing is shuffled; with more the documents' words are written once and searched per block.
 
-    Null and empty texts have no runs; null ids are kept as they are; repeated rows give repeated results (`distinct`
-    them); an item's opening sentences that five or more items share are no part of it; empty tables give no rows.
+    Null and empty texts have no runs; null ids are left out; rows of a repeated doc_id are searched each and may give
+    repeated results (`distinct` them); all texts of a repeated item_id are searched; an item's opening sentences that
+    five or more texts share are no part of it; empty tables give no rows.
     """
-    total = items.count()
-    parts = max(1, -(-total // block))
+    stated = Scratch(documents.sparkSession).save(shared_openings(items))
+    size = stated.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // block), -(-size["chars"] // BLOCK_CHARS))
+    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    if parts > 1:
+        rows = Scratch(documents.sparkSession).save(rows.mapInPandas(_split, "doc_id long, row long, words array<string>"))
     found = None
     for n in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n).select("item_id", "item_text").distinct().collect()  # `block` rows
-        wanted = Passages([(r[0], r[1]) for r in rows if r[0] is not None])
-        got = _search(documents, wanted, shard_words)
+        mine = stated.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == n).collect()  # about `block` rows
+        got = _search(rows, Passages([(r["item_id"], passage_words(r["item_text"], r["skip"])) for r in mine]), shard_words)
         found = got if found is None else found.unionByName(got)
-    return found
+    if parts == 1:
+        return found.drop("row")
+    # Runs of one document from several blocks: those inside another block's longer run go.
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(own_runs(list(zip(*(pdf[c].tolist() for c in ("doc_id", "item_id", "first_word", "n_words"))))), columns=["doc_id", "item_id", "first_word", "n_words"])
+
+    return found.groupBy("row").applyInPandas(own, RUNS)
 
 
-def _search(documents: DataFrame, wanted: Passages, shard_words: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)  # the texts of one block of items
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 33
+    for pdf in batches:
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "row": range(row, row + len(pdf)), "words": [document_words(t) for t in pdf.text]})
+        row += len(pdf)
+
+
+def _search(rows: DataFrame, wanted: Passages, shard_words: int) -> DataFrame:
+    """rows: doc_id and text, or doc_id, row and words."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)  # the texts of one block of items
+    split = "words" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = shared.value
         symbol = mine.symbol.get
-        docs: list[int] = []
+        docs: list[tuple] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
         size = 0
@@ -232,12 +318,12 @@ def _search(documents: DataFrame, wanted: Passages, shard_words: int) -> DataFra
             nonlocal docs, lengths, parts, size
             got = find_in_shard(docs, lengths, np.concatenate(parts) if parts else np.zeros(0, np.int64), mine)
             docs, lengths, parts, size = [], [], [], 0
-            return pd.DataFrame(got, columns=["doc_id", "item_id", "first_word", "n_words"])
+            return pd.DataFrame([(d, r, i, a, n) for (d, r), i, a, n in got], columns=["doc_id", "row", "item_id", "first_word", "n_words"])
 
         for pdf in batches:
-            for doc, text in zip(pdf.doc_id, pdf.text):
-                words = document_words(text)
-                docs.append(doc)
+            for doc, row, text in zip(pdf.doc_id, pdf.row if split else pdf.doc_id, pdf.words if split else pdf.text):
+                words = text if split else document_words(text)
+                docs.append((doc, row))
                 lengths.append(len(words))
                 parts.append(np.fromiter((symbol(w, OTHER) for w in words), np.int64, len(words)))
                 size += len(words)
@@ -245,8 +331,7 @@ def _search(documents: DataFrame, wanted: Passages, shard_words: int) -> DataFra
                     yield flush()
         yield flush()
 
-    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.mapInPandas(run, "doc_id long, item_id long, first_word int, n_words int")
+    return rows.mapInPandas(run, "doc_id long, row long, item_id long, first_word int, n_words int")
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -96,3 +96,36 @@ def test_long_and_wrapped_tags():
     assert plain_words("a <b, and then\nmany words > c") == "a b and then many words c".split()
     inside = leaks.document_words(f'<img\n alt="{ITEM}">')
     assert " ".join(plain_words(ITEM)) in " ".join(inside) and leaks.document_words('<img alt="few words">') == []
+
+
+def test_long_runs_against_brute_force():
+    rnd = random.Random(4)
+    for _ in range(200):
+        same = np.array([rnd.random() < 0.9 for _ in range(rnd.randint(0, 90))], bool)
+        spans = [(a, z) for a in range(len(same)) for z in range(a + 15, len(same) + 1) if same[a] and same[z - 1] and all(y - x >= 10 for x, y in zip(np.flatnonzero(~same[a:z]), np.flatnonzero(~same[a:z])[1:]))]
+        want = [(a, z - a) for a, z in spans if not any((b, y) != (a, z) and b <= a and z <= y for b, y in spans)]
+        assert leaks.long_runs(same) == sorted(want)
+
+
+def test_own_runs_against_brute_force():
+    rnd = random.Random(5)
+    for _ in range(300):
+        runs = [(7, rnd.randint(1, 4), rnd.randint(0, 30), rnd.randint(15, 30)) for _ in range(rnd.randint(0, 9))]
+        want = {r for r in runs if not any(o[1] != r[1] and o[2] <= r[2] and r[2] + r[3] <= o[2] + o[3] and o[3] > r[3] for o in runs)}
+        assert set(leaks.own_runs(runs)) == want
+
+
+def test_items_of_one_template_and_repeated_ids(spark):
+    frame = "you are handed {} sparse {} objects filter them by {} then apply whichever {} has the smallest topic it is promised that the item has a signed {} while"
+    a, b = (frame.format(*x) for x in (("6", "tag", "header", "dataset", "lease"), ("20", "list", "segment", "task", "lock")))
+    items = [(1, a), (2, b), (3, " ".join(f"w{i}" for i in range(20))), (3, " ".join(f"v{i}" for i in range(20))), (4, a)]
+    docs = [(1, a), (2, "x " + b + " y"), (3, a + " and " + b), (4, " ".join(f"v{i}" for i in range(17))), (5, " ".join(f"w{i}" for i in range(16)))]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    want = {(1, 1), (1, 4), (2, 2), (3, 1), (3, 4), (3, 2), (4, 3), (5, 3)}
+    for block in (5_000, 1):  # the second: every item in a block of its own
+        assert {(r.doc_id, r.item_id) for r in leaked_passages(d, e, block=block).collect()} == want
+
+
+def test_shared_openings_count_over_all_items(spark):
+    e = spark.createDataFrame([(i, f"Answer with code only. Then {i} more words of item {i}.") for i in range(6)] + [(9, "Own text. More."), (10, None)], "item_id long, item_text string")
+    assert {r.item_id: r.skip for r in leaks.shared_openings(e).collect()} == {**{i: 1 for i in range(6)}, 9: 0}
