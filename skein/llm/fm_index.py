@@ -6,22 +6,35 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling. The text must end with a symbol less than all others, found only there."""
+    """Suffix array by prefix doubling. The text must end with a symbol less than all others, found only there.
+
+    A suffix's rank is the place of its group, so groups of one suffix are final and only the others are sorted again.
+    The first sort takes as many symbols as fit in 62 bits.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    bits = max(1, int(text.max()).bit_length())
+    width = max(1, min(62 // bits, n))
+    key = text.astype(np.int64)
+    for k in range(1, width):
+        key = key << bits
+        key[: n - k] |= text[k:]
+    order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
-    s = text[order]
-    rank[order] = np.cumsum(np.append(0, s[1:] != s[:-1]))
-    width = 1
-    while int(rank.max()) < n - 1:
-        second = np.zeros(n, np.int64)
-        second[:-width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank[order] = np.cumsum(np.append(0, k[1:] != k[:-1]))
+    k = key[order]
+    new = np.append(True, k[1:] != k[:-1])
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    open_places = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(open_places):
+        mine = order[open_places]
+        behind = np.minimum(mine + width, n - 1)  # the last suffix is the least and alone
+        key = rank[mine] * (n + 1) + np.where(mine + width < n, rank[behind] + 1, 0)
+        sort = np.argsort(key, kind="stable")
+        mine, k = mine[sort], key[sort]
+        order[open_places] = mine
+        new = np.append(True, k[1:] != k[:-1])
+        rank[mine] = np.maximum.accumulate(np.where(new, open_places, 0))
+        open_places = open_places[~(new & np.append(new[1:], True))]
         width *= 2
-    order[rank] = np.arange(n)
     return order
 
 

@@ -149,18 +149,23 @@ def longest_run(same: np.ndarray, gap: int = GAP, by: int = 2) -> tuple[int, int
 
 def long_runs(same: np.ndarray, least: int = RUN_WORDS, gap: int = GAP) -> list[tuple[int, int]]:
     """(begin, length) of all runs as in `longest_run` of `least` or more words that lie in no longer one."""
-    edges = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]]).tolist()
+    miss = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+    stretch = np.diff(miss) - 1  # agreeing words between two mismatches
+    following = np.append(stretch[1:], 0)
+    # A run is one stretch, two around a mismatch, or goes on over a stretch that keeps its two mismatches apart.
+    first = np.flatnonzero((stretch > 0) & ((stretch >= least) | (stretch + 1 + following >= least) | (following >= gap - 1)))
+    if not len(first):
+        return []
+    edges, n = miss.tolist(), len(stretch)
     found: list[tuple[int, int]] = []
-    for k in range(len(edges) - 1):
+    for k in first.tolist():
         j = k + 1
-        while j < len(edges) - 1 and (j == k + 1 or edges[j] - edges[j - 1] >= gap):
+        while j < n and (j == k + 1 or edges[j] - edges[j - 1] >= gap):
             j += 1
         a, z = edges[k] + 1, edges[j]
-        while a < z and not same[a]:
-            a += 1
         while z > a and not same[z - 1]:
             z -= 1
-        if z - a >= least and (not found or a + (z - a) > sum(found[-1])):
+        if z - a >= least and (not found or z > sum(found[-1])):
             found.append((a, z - a))
     return found
 
