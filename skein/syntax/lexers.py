@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import partial
 from typing import NamedTuple
 
 # The reserved words of each language.
@@ -114,31 +115,34 @@ def lex(language: str, s: str) -> Lexed:
     if js and s.startswith("#!"):
         i = s.find("\n") if "\n" in s else n
     last = ""
+    # Places only grow, so the line is counted along; a token is made without the detour over its class's constructor.
+    line, following = 1, starts[1] if len(starts) > 1 else n + 1
+    put, make = tokens.append, partial(tuple.__new__, Token)
 
-    def put(kind: str, a: int, b: int) -> None:
-        nonlocal last
-        tokens.append(Token(kind, a, b, bisect_right(starts, a)))
-        last = kind
+    def line_at(a: int) -> int:
+        return bisect_right(starts, a)
 
     while i < n:
         if js and s[i] in "/`":
             if s[i] == "`":
                 e = _template_end(s, i)
                 if e < 0:
-                    bad.append(Token("BAD", i, n, bisect_right(starts, i)))
+                    bad.append(Token("BAD", i, n, line_at(i)))
                     break
-                put("TPL", i, e)
+                put(Token("TPL", i, e, line_at(i)))
+                last = "TPL"
                 i = e
                 continue
             if last not in _JS_OPERAND and (m := _JS_REGEX.match(s, i)):
-                put("REGEX", i, m.end())
+                put(Token("REGEX", i, m.end(), line_at(i)))
+                last = "REGEX"
                 i = m.end()
                 continue
         m = match(s, i)
         if m is None:
             unfinished = s.startswith("/*", i) and not py
             e = n if unfinished or s.startswith(('"""', "'''"), i) and (py or language == "java") or go and s[i] == "`" else i + 1
-            bad.append(Token("BAD", i, e, bisect_right(starts, i)))
+            bad.append(Token("BAD", i, e, line_at(i)))
             last = "BAD"
             if e == i + 1 and s[i] in "\"'":  # an unfinished string: the rest of the line belongs to it
                 while e < n and s[e] not in "\r\n":
@@ -147,31 +151,40 @@ def lex(language: str, s: str) -> Lexed:
             continue
         kind, e = m.lastgroup, m.end()
         if kind == "W":
-            pass
+            i = e
+            continue
+        while following <= i:
+            line += 1
+            following = starts[line] if line < len(starts) else n + 1
+        if kind == "I":
+            text = m.group()
+            last = text if text in words or text in soft else "ID"
+            put(make((last, i, e, line)))
+        elif kind == "O":
+            last = m.group()
+            if py:
+                depth += 1 if last in "([{" else -1 if last in ")]}" and depth else 0
+            put(make((last, i, e, line)))
         elif kind == "C":
-            comments.append(Token("CMT", i, e, bisect_right(starts, i)))
+            comments.append(Token("CMT", i, e, line))
             if go and last in _GO_END and "\n" in s[i:e]:
-                put(";", i, i)
+                put(Token(";", i, i, line))
+                last = ";"
         elif kind == "L":
             if go:
                 if last in _GO_END:
-                    put(";", i, i)
+                    put(Token(";", i, i, line))
+                    last = ";"
             elif not (py and depth) and last != "NL":
-                put("NL", i, e)
-        elif kind == "I":
-            text = m.group()
-            put(text if text in words or text in soft else "ID", i, e)
-        elif kind == "O":
-            text = m.group()
-            if py:
-                depth += 1 if text in "([{" else -1 if text in ")]}" and depth else 0
-            put(text, i, e)
+                put(Token("NL", i, e, line))
+                last = "NL"
         else:
-            put({"S": "STR", "N": "NUM"}.get(kind, kind), i, e)
+            last = "STR" if kind == "S" else "NUM" if kind == "N" else kind
+            put(make((last, i, e, line)))
         i = e
     if go and last in _GO_END:
-        put(";", n, n)
+        put(Token(";", n, n, line_at(n)))
     if "\0" in s and language in ("python", "go") and not bad:
         i = s.index("\0")
-        bad.append(Token("BAD", i, i + 1, bisect_right(starts, i)))
+        bad.append(Token("BAD", i, i + 1, line_at(i)))
     return Lexed(tokens, comments, bad)
