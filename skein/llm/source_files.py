@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.syntax.validity import LANGUAGE_OF, repair
+from skein.llm.syntax.validity import LANGUAGE_OF, MOST_EDITS, repair
 
-REPAIR_SCHEMA = "rel_path string, source_project string, language string, edit_cost int, kind string, line int"
+REPAIR_SCHEMA = "rel_path string, source_project string, language string, edit_cost int, kind string, line int, exact boolean"
 #: A regular expression over the extension; files of other languages are left out.
 KNOWN = r"\.(java|go|py|ts|js)$"
 
@@ -20,12 +20,15 @@ def known_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel_path").rlike(KNOWN)).select("rel_path", "source_project", "content")
 
 
-def syntax_repairs(files: DataFrame) -> DataFrame:
+def syntax_repairs(files: DataFrame, most: int | None = MOST_EDITS) -> DataFrame:
     """Minimum-cost syntax repair of each file, by error-correcting chart parsing.
 
     files: rel_path, source_project, content (binary, UTF-8). The language is that of the extension. Lexical faults, a
     bracket chart and a chart per statement (see `skein.llm.syntax`) give edit_cost; 0 means that the file parses. kind
     tells from the edits' places: conflict, truncation, mismatch (another language or no code), else edit; '' if valid.
+    exact tells whether edit_cost is the least number of edits: up to `most` edits are searched for in a statement, and
+    one that takes more counts most + 1; None searches without a bound (slow for files of another language). Beside
+    lexical and bracket faults statements are not parsed, so their cost is a lower bound too.
 
     One row per input row; a null content counts as empty, and an empty file is valid except in Go. Files are
     independent, so nothing is shuffled.
@@ -38,17 +41,17 @@ def syntax_repairs(files: DataFrame) -> DataFrame:
             for path, content in zip(paths, contents):
                 language = LANGUAGE_OF[path.as_py().rsplit(".", 1)[1]]
                 languages.append(language)
-                found.append(repair(language, content.as_py())[0])
-            columns = [paths, projects, pa.array(languages, pa.string()), pa.array([r.cost for r in found], pa.int32()), pa.array([r.kind for r in found], pa.string()), pa.array([r.line for r in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["rel_path", "source_project", "language", "edit_cost", "kind", "line"])
+                found.append(repair(language, content.as_py(), most)[0])
+            columns = [paths, projects, pa.array(languages, pa.string()), pa.array([r.cost for r in found], pa.int32()), pa.array([r.kind for r in found], pa.string()), pa.array([r.line for r in found], pa.int32()), pa.array([r.exact for r in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["rel_path", "source_project", "language", "edit_cost", "kind", "line", "exact"])
 
     return known_files(files).mapInArrow(run, REPAIR_SCHEMA)
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
-    """The files with a nonzero repair cost, each once: rel_path, source_project, language, edit_cost, kind, line."""
+    """The files with a nonzero repair cost, each once: rel_path, source_project, language, edit_cost, kind, line, exact."""
     found = syntax_repairs(files).where("edit_cost > 0")
-    return found.groupBy("rel_path").agg(*[F.min(F.struct("edit_cost", "kind", "line", "source_project", "language")).getField(c).alias(c) for c in ("source_project", "language", "edit_cost", "kind", "line")])
+    return found.groupBy("rel_path").agg(*[F.min(F.struct("edit_cost", "kind", "line", "exact", "source_project", "language")).getField(c).alias(c) for c in ("source_project", "language", "edit_cost", "kind", "line", "exact")])
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
