@@ -255,14 +255,15 @@ def _baskets(data: DataFrame, scorer: "Scorer | None", keep: np.ndarray, chunk:
 _RULES = "words array<bigint>, c long, n long, hits long, confidence double"
 
 
-def mine_rules(data: DataFrame, scorer: "Scorer | None", support: float, scratch: Scratch, chunk: int = 1_000_000) -> DataFrame:
-    """Class-association rules: words (1 or 2 hashes, sorted), c (class), n (sentences with the words), hits (of these with
+def mine_rules(data: DataFrame, scorer: "Scorer | None", support: float, scratch: Scratch, chunk: int = 1_000_000, longest: int = MAX_WORDS) -> DataFrame:
+    """Class-association rules: words (up to `longest` hashes, sorted), c (class), n (sentences with the words), hits (of these with
     the class), confidence (smoothed towards the class's share).
 
     data: words (as in `word_ids`) and, where no scorer names the sentences, classes of the whole document. Words that are
     hardly more frequent with any class than without are dropped first, by their class counts over all sentences (over
     documents, where a class holds for documents); only then frequent patterns are grown, so patterns stay short. A two-word
-    rule is redundant, and pruned, unless it is surer than both of its one-word rules.
+    rule is redundant, and pruned, unless it is surer than both of its one-word rules. The one-word rules are the class
+    counts themselves, so with longest=1 no patterns are grown.
     """
     spark = data.sparkSession
     counts = scratch.save(_class_counts(data, scorer, chunk))
@@ -277,6 +278,10 @@ def mine_rules(data: DataFrame, scorer: "Scorer | None", support: float, scratch
     expected = F.col("all") * base[F.col("c")]
     telling = counts.where((F.col("c") >= 0) & (F.col("n") >= least)).join(seen, "w")
     telling = telling.where((F.col("n") >= TELLING * F.col("all")) & (F.col("n") >= 1.5 * expected) & (F.col("n") - expected >= 2.5 * F.sqrt(expected))).select("w").distinct()
+    if longest == 1:
+        rules = counts.where("c >= 0").withColumnRenamed("n", "hits").join(seen, "w").join(telling, "w", "left_semi").where(F.col("hits") >= least)
+        rules = rules.withColumn("confidence", (F.col("hits") + base[F.col("c")]) / (F.col("all") + 1)).where(F.col("confidence") >= 1.5 * base[F.col("c")])
+        return rules.select(F.array("w").alias("words"), "c", F.col("all").alias("n"), "hits", "confidence")
     # Each has `least` sentences or more: at most (words a sentence) / support of the corpus, or a quarter of the words of
     # the labelled sample, whose size is bounded.
     keep = np.sort(np.array([r[0] for r in telling.collect()], np.int64))
@@ -288,7 +293,7 @@ def mine_rules(data: DataFrame, scorer: "Scorer | None", support: float, scratch
         return spark.createDataFrame([], _RULES)
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / size), minConfidence=1.0).fit(baskets).freqItemsets
     is_class = lambda x: x < 0
-    found = scratch.save(found.select(F.array_sort(F.filter("items", lambda x: x > 0)).alias("words"), F.filter("items", is_class).alias("cs"), "freq").where((F.size("cs") <= 1) & F.size("words").between(1, MAX_WORDS)))
+    found = scratch.save(found.select(F.array_sort(F.filter("items", lambda x: x > 0)).alias("words"), F.filter("items", is_class).alias("cs"), "freq").where((F.size("cs") <= 1) & F.size("words").between(1, longest)))
     n = found.where(F.size("cs") == 0).select("words", F.col("freq").alias("n"))
     rules = found.where(F.size("cs") == 1).select("words", (-1 - F.col("cs")[0]).alias("c"), F.col("freq").alias("hits")).join(n, "words").where(F.col("n") >= least)
     rules = rules.withColumn("confidence", (F.col("hits") + base[F.col("c")]) / (F.col("n") + 1))
@@ -397,7 +402,8 @@ def subject_scorer(words: DataFrame, labels: DataFrame, subjects: DataFrame, scr
     Labels: any case, spaces around, repeated and unknown ones allowed; unknown subjects are left out. A tenth of the
     labelled documents is held out from all rules and calibrates the last. The first rules come from one half of the others
     and are calibrated on the other half. They name the subject of sentences in the whole corpus; mining over all sentences
-    (those about no subject included) gives surer rules, which are applied and mined once more for rare words.
+    (those about no subject included) gives surer rules, first of one word, which are applied and mined once more for rare
+    words and pairs.
     """
     names = sorted(r[0] for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s is not null").distinct().collect())  # the permitted subjects
     if len(names) >= 1 << 20:
@@ -419,8 +425,8 @@ def subject_scorer(words: DataFrame, labels: DataFrame, subjects: DataFrame, scr
         both.setdefault((tuple(ws), c), []).append(p)
     scorer = Scorer(names, [(list(ws), c, sum(p) / len(p)) for (ws, c), p in both.items()], FIRST_STRONG)
     rules = []
-    for _ in range(2):
-        rules = _collected(mine_rules(words, scorer, CORPUS_SUPPORT, scratch, scorer.chunk))
+    for longest in (1, MAX_WORDS):
+        rules = _collected(mine_rules(words, scorer, CORPUS_SUPPORT, scratch, scorer.chunk, longest))
         scorer = Scorer(names, rules)
     return Scorer(names, calibrate(rules, labelled.where(fold == 0)))
 
