@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.doc_text import real_documentation
 from skein.llm.source_files import known_files
+from skein.storage import Scratch
 from skein.syntax.lexers import Lexed
 from skein.llm.syntax.validity import LANGUAGE_OF, _width, repair
 
-TOKEN_SCHEMA = "rid long, rel_path string, language string, pos int, kind string, text string, line int, end_line int"
+TOKEN_SCHEMA = "rid long, rel_path string, lang byte, pos int, kind string, text string, line int, end_line int"
+LANGUAGES = ("java", "go", "python", "typescript", "javascript")
 _KEPT = {"=", "=>", "@", ":", "<", ">", ".", ",", "*", "|", "[", "]"}
 _LITERAL_BEFORE = {"=", ":", ",", "[", "(", "return", "?", "&&", "||", "??"}
 
@@ -154,10 +156,11 @@ def _python_rows(lexed: Lexed, text: str) -> list[tuple]:
 
 
 def lexed_tokens(files: DataFrame) -> DataFrame:
-    """One row per token that bears on declarations, of the files that parse (repair cost 0)."""
+    """One row per token that bears on declarations, of the files that parse (repair cost 0). A file's first row has kind
+    FILE and its path; no other row repeats it. lang is a place in LANGUAGES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "rel_path", "language", "pos", "kind", "text", "line", "end_line"]
+        names = ["rid", "rel_path", "lang", "pos", "kind", "text", "line", "end_line"]
         for batch in batches:
             for rid, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 language = LANGUAGE_OF[path.rsplit(".", 1)[1]]
@@ -167,10 +170,10 @@ def lexed_tokens(files: DataFrame) -> DataFrame:
                 rows = _python_rows(lexed, text) if language == "python" else _brace_rows(language, lexed, text)
                 if not rows:
                     continue
-                pos, kind, words, line, end = zip(*rows)
-                n = len(rows)
+                pos, kind, words, line, end = zip((-2, "FILE", "", 0, 0), (-1, ";", "", 0, 0), *rows)
+                n = len(pos)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rid] * n, pa.int64()), pa.array([path] * n), pa.array([language] * n), pa.array(pos, pa.int32()), pa.array(kind), pa.array(words), pa.array(line, pa.int32()), pa.array(end, pa.int32())], names
+                    [pa.array([rid] * n, pa.int64()), pa.array([path] + [None] * (n - 1), pa.string()), pa.array([LANGUAGES.index(language)] * n, pa.int8()), pa.array(pos, pa.int32()), pa.array(kind), pa.array(words), pa.array(line, pa.int32()), pa.array(end, pa.int32())], names
                 )
 
     rows = known_files(files).select(F.monotonically_increasing_id().alias("rid"), "rel_path", "content")
@@ -186,11 +189,13 @@ def function_declarations(files: DataFrame) -> DataFrame:
 
     Tokens become rows; running sums over a file give the brace depth, a running count of delimiters makes islands of
     the tokens between { } and ; , and an island is a declaration or a statement. The block of a { ends at the next row
-    of its depth. Comments lie in the island of their declaration; docstrings are the row after its {.
+    of its depth. Comments lie in the island of their declaration, and lag windows tie those on following lines to blocks;
+    docstrings are the row after its {.
 
     Columns: rel_path, language, qualified_name, name, params, start_line, end_line, style (block, lines, string), doc.
     Two rows of one path with the same content give the same functions once.
     """
+    scratch = Scratch(files.sparkSession)
     tokens = lexed_tokens(files)
     w = Window.partitionBy("rid").orderBy("pos")
     delimiter = F.col("kind").isin("{", "}", ";")
@@ -202,15 +207,20 @@ def function_declarations(files: DataFrame) -> DataFrame:
         F.lead("kind", 1).over(w).alias("k1"),
         F.lead("text", 1).over(w).alias("t1"),
         F.lead("kind", 2).over(w).alias("k2"),
+        # A comment goes on with the one before if that is the row before and ends on the line above.
+        ((F.col("kind") == "CMT") & F.coalesce((F.lag("kind").over(w) == "CMT") & (F.lag("end_line").over(w) == F.col("line") - 1), F.lit(False))).alias("goes_on"),
     )
+    rows = rows.withColumn("block", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
     level = F.when(F.col("kind") == "{", F.col("depth")).when(F.col("kind") == "}", F.col("depth") + 1)
     rows = rows.withColumn("level", level)
     ends = Window.partitionBy("rid", "level").orderBy("pos")
     rows = rows.withColumn("close", F.when(F.col("kind") == "{", F.lead("pos").over(ends))).withColumn("close_line", F.when(F.col("kind") == "{", F.lead("line").over(ends)))
-    islands = rows.groupBy("rid", "rel_path", "language", "island").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "line", "end_line"))).alias("toks"),
+    islands = rows.groupBy("rid", "lang", "island").agg(
+        F.max("rel_path").alias("rel_path"),
+        F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "line", "end_line", "block"))).alias("toks"),
         F.max(F.when(delimiter, F.struct("kind", "pos", "close", "close_line", "depth", "k1", "t1", "k2", "line"))).alias("end"),
     )
+    islands = islands.withColumn("language", F.array(*map(F.lit, LANGUAGES))[F.col("lang")])
     code = F.filter("toks", lambda t: t["kind"] != "CMT")
     # Annotations and decorators are dropped from the header: @ Name ( . Name )* ( ... )?
     shown = F.transform(code, lambda t: F.when(t["kind"].isin("ID", "WORD", "STR"), F.regexp_replace(t["text"], r"\s", "")).otherwise(t["kind"]))
@@ -227,20 +237,21 @@ def function_declarations(files: DataFrame) -> DataFrame:
     js_function = F.regexp_extract(head, r"^(?:(?:export|default|async|declare) )*function (?:\* )?([\w$]+) ", 1)
     js_arrow = F.regexp_extract(head, r"^(?:export )?const ([\w$]+) (?:: .*)?= (?:async )?(?:(?:< .*> )?\( \)(?: : .*)?|[\w$]+) =>", 1)
     islands = islands.select(
-        "rid", "rel_path", "language", "toks", "head", F.col("end.pos").alias("open"), F.when(is_open, F.col("end.close")).alias("close"), F.col("end.depth").alias("depth"), is_open.alias("is_open"),
+        "rid", "rel_path", "language", "toks", "code", "head", F.col("end.pos").alias("open"), F.when(is_open, F.col("end.close")).alias("close"), F.col("end.depth").alias("depth"), is_open.alias("is_open"),
         F.when(is_open, F.coalesce(F.col("end.close_line"), F.col("end.line"))).otherwise(F.col("end.line")).alias("end_line"),
         F.when(is_open, F.nullif(class_name, F.lit(""))).alias("klass"),
         F.nullif(F.when(lang == "python", F.regexp_extract(head, r"^(?:async )?def ([\w]+)", 1)).when(lang == "go", F.regexp_extract(head, r"^func (?:\( \) )?([\w]+) ", 1)).when(lang == "java", java_name).otherwise(F.when(is_open, js_function)), F.lit("")).alias("named"),
         F.when(is_js, F.nullif(method, F.lit(""))).alias("member"),
         F.when(is_js & (F.col("end.depth") - is_open.cast("int") == 0), F.nullif(js_arrow, F.lit(""))).alias("arrow"),
         F.when((lang == "python") & is_open & (F.col("end.k1") == "STR") & (F.col("end.k2") == ";") & F.col("end.t1").rlike("^[rRuU]?[\"']"), F.col("end.t1")).alias("docstring"),
-        F.when((lang == "java") & head.startswith("package "), F.array_join(F.slice(F.transform(F.filter("code", lambda t: t["kind"].isin("ID", "WORD")), lambda t: t["text"]), 2, 1000), ".")).alias("package"),
+        F.when((lang == "java") & head.startswith("package "), F.array_join(F.slice(F.transform(F.filter("code", lambda t: t["kind"].isin("ID", "WORD")), lambda t: t["text"]), 2, F.size("code")), ".")).alias("package"),
         F.when((lang == "go") & head.startswith("func ( )"), F.regexp_extract(F.try_element_at(F.filter("code", lambda t: t["kind"] == "("), F.lit(1))["text"], r"([\w]+)\s*(?:\[.*\])?\s*$", 1)).alias("receiver"),
     )
-    kept = islands.where(F.coalesce("klass", "named", "member", "arrow", "package").isNotNull())
+    # Declarations are few; they are written, as the file's scopes and its functions both come from them.
+    kept = scratch.save(islands.where(F.coalesce("klass", "named", "member", "arrow", "package", "rel_path").isNotNull()).drop("code"))
     scopes = F.array_sort(F.collect_list(F.when(F.col("is_open"), F.struct("open", "close", F.coalesce("klass", "named", "arrow", "member").alias("name"), F.col("klass").isNotNull().alias("is_class")))))
-    per_file = kept.groupBy("rid").agg(scopes.alias("scopes"), F.max("package").alias("pkg"))
-    found = kept.where(F.col("klass").isNull() & F.coalesce("named", "member", "arrow").isNotNull()).join(per_file, "rid")
+    per_file = kept.groupBy("rid").agg(scopes.alias("scopes"), F.max("package").alias("pkg"), F.max("rel_path").alias("rel_path"))
+    found = kept.drop("rel_path").where(F.col("klass").isNull() & F.coalesce("named", "member", "arrow").isNotNull()).join(per_file, "rid")
     around = F.filter("scopes", lambda s: (s["open"] < F.col("open")) & (F.coalesce(s["close"], F.lit(2147483647)) > F.col("open")))
     found = found.withColumn("around", around).withColumn("in_class", F.coalesce(F.try_element_at(F.col("around"), F.lit(-1))["is_class"], F.lit(False)))
     owner = F.try_element_at(F.col("around"), F.lit(-1))["name"]
@@ -262,13 +273,10 @@ def function_declarations(files: DataFrame) -> DataFrame:
     found = found.withColumn("at", at).withColumn("params", F.coalesce(opened["text"], F.lit("")))
     notes = F.filter("toks", lambda t: (t["kind"] == "CMT") & (t["pos"] < F.col("at")["pos"]))
     first_code = F.try_element_at(F.filter("toks", lambda t: t["kind"] != "CMT"), F.lit(1))["line"]
-    # Lines of comments that end right above the declaration, walked upwards without a gap.
-    chain = F.aggregate(
-        F.reverse(notes),
-        F.struct(first_code.alias("line"), F.array().cast("array<string>").alias("texts")),
-        lambda acc, t: F.when(t["end_line"] == acc["line"] - 1, F.struct(t["line"].alias("line"), F.concat(F.array(t["text"]), acc["texts"]).alias("texts"))).otherwise(acc),
-    )["texts"]
-    last_note = F.try_element_at(notes, F.lit(-1))["text"]
+    # In Go the block of comments whose last one ends right above the declaration.
+    last_one = F.try_element_at(notes, F.lit(-1))
+    chain = F.when(last_one["end_line"] == first_code - 1, F.transform(F.filter(notes, lambda t: t["block"] == last_one["block"]), lambda t: t["text"]))
+    last_note = last_one["text"]
     doc = F.when(F.col("language") == "python", F.col("docstring")).when(F.col("language") == "go", F.nullif(F.array_join(chain, "\n"), F.lit(""))).otherwise(F.when(last_note.rlike(r"^/\*\*[^/]"), last_note))
     return found.select(
         "rel_path", "language", F.array_join(path, ".").alias("qualified_name"), "name", "params", F.col("at.line").alias("start_line"), "end_line",
