@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.balanced import balanced_key_stats
+from skein.operators.balanced import balanced_key_counts, balanced_key_stats
 from skein.operators.orphans import orphan_keys, orphan_rows
 from skein.operators.snapshots import snapshot_changes
 from skein.storage import month_index, read_table
@@ -65,10 +65,13 @@ select 'calls.called_name', called_name, count(*), count(distinct caller_name),
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = p5_key_stats(spark, sf_dir)
-    totals = [(f"{t}.{c}", read_table(spark, sf_dir, t).count()) for t, c in (("edges", "target_id"), ("calls", "called_name"))]
-    least = F.create_map(*[x for name, n in totals for x in (F.lit(name), F.lit(n))])
-    return stats.where(F.col("key_value").isNotNull() & (F.col("n_rows") * 50 >= least[F.col("key_field")])).select("key_field", "key_value")
+    found = []
+    for table, column in (("edges", "target_id"), ("calls", "called_name")):
+        df = read_table(spark, sf_dir, table)
+        least = df.count()
+        counts = balanced_key_counts(df, column).where(F.col("key_value").isNotNull() & (F.col("n_rows") * 50 >= least))
+        found.append(counts.select(F.lit(f"{table}.{column}").alias("key_field"), "key_value"))
+    return found[0].unionByName(found[1])
 
 
 P5_SQL = """

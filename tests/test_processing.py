@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from skein.operators.balanced import balanced_key_stats
+from skein.operators.balanced import balanced_key_counts, balanced_key_stats
 from skein.operators.lookup import hot_keys, lookup_join
 from skein.operators.orphans import orphan_keys, orphan_rows
 from skein.operators.prefix_sum import number_rows
@@ -36,6 +36,16 @@ def test_balanced_matches_plain_counts_with_a_hot_key(spark):
         assert stats(df, chunk) == want
 
 
+def test_key_counts_cut_hot_keys_at_chunk_ends(spark):
+    data = [("hot",)] * 70 + [("a",)] * 5 + [(None,)] * 3 + [(f"r{i}",) for i in range(20)]
+    df = spark.createDataFrame(data, "n string").select(F.col("n").alias("p"), F.lit(1).alias("n")).repartition(6)
+    for chunk in (1, 7, 50, 1000):
+        got = {r.key_value: (r.n_rows, r.n_chunks) for r in balanced_key_counts(df, "p", chunk).collect()}
+        assert {k: v[0] for k, v in got.items()} == {"hot": 70, "a": 5, None: 3, **{f"r{i}": 1 for i in range(20)}}
+        assert 70 / chunk <= got["hot"][1] <= 70 / chunk + 2
+    assert balanced_key_counts(df.limit(0), "p").count() == 0
+
+
 def test_balanced_nulls_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, None, 1, 2), ("a", None, T, 1, 2), (None, "m", None, 1, 2)], "k string, m string, t timestamp, chunk int, n int")
     assert stats(df, 1) == {"a": (2, 0, T, T), None: (1, 1, None, None)}
