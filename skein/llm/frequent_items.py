@@ -148,13 +148,14 @@ def bounds(sketch: VoteSketch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     return found, lower, upper, others
 
 
-def most_frequent(df: DataFrame, column: str, k: int = 20, depth: int = DEPTH, width: int = WIDTH, max_width: int = 1 << 22) -> DataFrame:
+def most_frequent(df: DataFrame, column: str, k: int = 20, depth: int = DEPTH, width: int = WIDTH, max_width: int = 1 << 18) -> DataFrame:
     """The k most frequent values of a string column: item_value, n, lower, upper.
 
     The vote sketch yields candidates with bounds; those that can be among the k first are counted exactly in a second
     scan (at most depth x width of them, and far fewer in practice). If a value that is no candidate could still have
-    as many occurrences as the k-th (its upper bound says so), the sketch is doubled and built again, up to max_width
-    cells a row: the result is exact or an error, never a guess. Values as spelled; null and '' are left out; ties go
+    as many occurrences as the k-th (its upper bound says so), the sketch is widened and built again, up to max_width
+    cells a row. Beyond that (no value stands out, as in a flat column) all values are counted, spread over the cluster; the
+    result is exact in either case. Values as spelled; null and '' are left out; ties go
     to the lesser value; fewer than k distinct values give all of them; an empty table gives no rows.
     """
     value = F.col(f"`{column}`")
@@ -172,5 +173,6 @@ def most_frequent(df: DataFrame, column: str, k: int = 20, depth: int = DEPTH, w
         if least > others or int(sketch.total[0].sum()) == 0 or others == 0:
             return spark.createDataFrame([(r["item_value"], r["n"], r["lower"], r["upper"]) for r in counted], "item_value string, n long, lower long, upper long")
         if width >= max_width:
-            raise ValueError(f"{column}: a value outside the sketch may reach {others} occurrences, the {k}-th has {least}; raise max_width")
+            every = df.where(value.isNotNull() & (value != "")).groupBy(value.alias("item_value")).agg(F.count(F.lit(1)).alias("n"))
+            return every.orderBy(F.desc("n"), "item_value").limit(k).select("item_value", "n", F.col("n").alias("lower"), F.col("n").alias("upper"))
         width *= 4

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import base64
-import importlib.util
+import json
 import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.leaks import plain_words
+from skein.storage import Scratch
 
-#: Public vocabulary; a path on every executor.
+# Fixed value: the pattern that splits text before the merges of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Public vocabulary; a path on the driver, from where Spark sends it to the executors.
 VOCABULARY = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Documents packed together. Each shard leaves a few bins less than full, which are packed once more.
 SHARD_DOCUMENTS = 20_000
@@ -27,16 +31,16 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     text without words.
     """
 
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
         import xxhash
 
-        spec = importlib.util.spec_from_file_location("vocabulary_pattern", os.path.join(os.path.dirname(vocabulary), "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             counts, clusters = [], []
             for text in pdf.text:
@@ -143,23 +147,32 @@ def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOC
     """
     rows = token_counts(documents.where("doc_id is not null"), vocabulary)
     best = F.max(F.struct("n_tokens", "cluster", "source")).alias("x")
-    rows = rows.groupBy("doc_id").agg(best).select("doc_id", "x.*")
+    scratch = Scratch(documents.sparkSession)
+    rows = scratch.save(rows.groupBy("doc_id").agg(best).select("doc_id", "x.*"))  # tokens are counted once
     capacities = sizes.where("pack_name is not null and capacity_tokens >= 1").select("pack_name", F.col("capacity_tokens").alias("capacity")).distinct()
-    each = rows.crossJoin(F.broadcast(capacities.limit(1_000)))  # one copy of the (id, size) rows per stated capacity
+    # One copy of the (id, size) rows per stated capacity, an array of the sizes being exploded on every row: what the task
+    # asks for, a container of every size for every document. The sizes are a stated set, read once.
+    stated = [(r["pack_name"], r["capacity"]) for r in capacities.collect()]
+    if not stated:
+        return documents.sparkSession.createDataFrame([], "pack_name string, container string, doc_id long, piece int, n_tokens int")
+    sizes_array = F.from_json(F.lit(json.dumps([{"pack_name": n, "capacity": c} for n, c in stated])), "array<struct<pack_name:string,capacity:int>>")
+    each = rows.select("*", F.explode(sizes_array).alias("size")).select("*", "size.pack_name", "size.capacity")
     pieces = F.expr("transform(sequence(0, cast(greatest(ceil(n_tokens / capacity), 1) as int) - 1), i -> struct(i as piece, cast(least(capacity, n_tokens - i * capacity) as int) as size))")
     items = each.select("pack_name", "capacity", "doc_id", "cluster", "source", F.explode(pieces).alias("p")).select("pack_name", "capacity", "doc_id", F.col("p.piece").alias("piece"), F.col("p.size").alias("n_tokens"), "cluster", "source")
     full = items.where("n_tokens = capacity").withColumn("container", F.format_string("own-%d-%d", "doc_id", "piece"))
-    total = documents.count()
+    total = rows.count()
     shards = max(1, -(-total // shard_documents))
     loose = items.where("n_tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     first = loose.groupBy("pack_name", "shard").applyInPandas(_packer("a"), _PLACED)
     columns = ["pack_name", "container", "doc_id", "piece", "n_tokens"]
     if shards == 1:
         return full.select(columns).unionByName(first.select(columns))
+    first = scratch.save(first)
     fill = first.groupBy("pack_name", "capacity", "container").agg(F.sum("n_tokens").alias("fill"))
     poor = fill.where(F.col("fill") < F.col("capacity") * FULL).select("pack_name", "container")
     again = first.join(poor, ["pack_name", "container"], "left_semi")
-    fewer = max(1, -(-shards // 16))
+    left = again.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
+    fewer = max(1, -(-left // shard_documents))
     second = again.withColumn("shard", F.pmod(F.xxhash64("container"), F.lit(fewer))).groupBy("pack_name", "shard").applyInPandas(_packer("b"), _PLACED)
     kept = first.join(poor, ["pack_name", "container"], "left_anti")
     return full.select(columns).unionByName(kept.select(columns)).unionByName(second.select(columns))

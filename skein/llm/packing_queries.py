@@ -19,7 +19,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = p8_containers(spark, sf_dir)
     sizes = read_table(spark, sf_dir, "pack_sizes").select("pack_name", F.col("capacity_tokens").alias("capacity")).distinct()
     per = placed.groupBy("pack_name").agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    return per.join(F.broadcast(sizes.limit(1_000)), "pack_name").select("pack_name", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"))
+    return per.join(sizes, "pack_name").select("pack_name", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"))
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skein.llm.frequent_items import VoteSketch, bounds, most_frequent
 
 
@@ -50,3 +52,9 @@ def test_edge_cases(spark):
     assert top(spark, ["b", "a", "c"], k=2) == [("a", 1), ("b", 1)]
     long = "x" * 100_000
     assert top(spark, [long, long, "y"], k=1) == [(long, 2)]
+
+
+def test_flat_columns_are_counted_when_no_sketch_tells(spark):
+    df = spark.range(400).select((F.col("id") % 100).cast("string").alias("v"))
+    got = [(r.item_value, r.n) for r in most_frequent(df, "v", 3, width=4, max_width=4).collect()]
+    assert got == [("0", 4), ("1", 4), ("10", 4)]

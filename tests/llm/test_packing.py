@@ -64,3 +64,9 @@ def test_documents(spark, shard):
         assert all(sum(r.doc_id is not None and 1000 <= r.doc_id < 1010 for r in x) <= 1 for x in load.values())
     assert {r.pack_name for r in rows} == {"s", "m"}
     assert pack_documents(d.limit(0), sizes).count() == 0
+
+
+def test_more_than_a_thousand_sizes(spark):
+    d = spark.createDataFrame([(1, "a", "some words here"), (2, None, "other words there")], "doc_id long, source string, text string")
+    sizes = spark.createDataFrame([(f"s{i}", 10 + i) for i in range(1001)], "pack_name string, capacity_tokens int")
+    assert pack_documents(d, sizes).select("pack_name").distinct().count() == 1001
