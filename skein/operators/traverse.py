@@ -31,19 +31,22 @@ def call_chain(functions: DataFrame, calls: DataFrame, dispatches: DataFrame, ro
     scratch = scratch or Scratch(functions.sparkSession)
     near, far = ("dst", "src") if reverse else ("src", "dst")
     sure = lambda e: e.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
-    names = functions.select("id", "qualified_name")
+    # Read at every level, so worked out once.
+    names = scratch.save(functions.select("id", "qualified_name"))
+    calls = scratch.save(sure(calls).select("src", "dst", "line", "confidence", "declared_type", "chain_id", "chain_depth"))
+    dispatches = scratch.save(sure(dispatches).select("src", "dst", "confidence"))
     empty_types = {"line": "int", "declared_type": "string", "chain_id": "int", "chain_depth": "int"}
     frontier = roots.select(F.col("id").alias("root"), "id").distinct()
     visited = scratch.save(frontier)
     all_nodes, all_edges = [], []
     frontier = visited
     for level in range(1, depth + 1):
-        step = scratch.save(sure(calls).join(frontier.select("root", F.col("id").alias(near)), near).select("root", "src", "dst", F.lit("CALLS").alias("kind"), F.lit(level).alias("level"), "line", "confidence", "declared_type", "chain_id", "chain_depth"))
+        step = scratch.save(calls.join(frontier.select("root", F.col("id").alias(near)), near).select("root", "src", "dst", F.lit("CALLS").alias("kind"), F.lit(level).alias("level"), "line", "confidence", "declared_type", "chain_id", "chain_depth"))
         new = step.select("root", F.col(far).alias("id")).distinct().join(visited, ["root", "id"], "left_anti")
         new = scratch.save(new)
         types = step.where(F.coalesce("declared_type", F.lit("")) != "").select("root", F.col(far).alias("id"), F.concat("declared_type", F.lit(".")).alias("prefix")).distinct().join(names, "id")
         types = types.groupBy("root", "id").agg(F.collect_set("prefix").alias("prefixes"), F.max(F.expr("startswith(qualified_name, prefix)")).alias("own"))
-        sent = sure(dispatches).join(new.select("root", F.col("id").alias(near)), near).select("root", "src", "dst", "confidence", F.col(near).alias("id"), F.col(far).alias("other"))
+        sent = dispatches.join(new.select("root", F.col("id").alias(near)), near).select("root", "src", "dst", "confidence", F.col(near).alias("id"), F.col(far).alias("other"))
         sent = sent.join(types, ["root", "id"], "left").join(names.select(F.col("id").alias("other"), F.col("qualified_name").alias("other_name")), "other")
         sent = sent.where(F.col("prefixes").isNull() | F.col("own") | F.exists("prefixes", lambda p: F.col("other_name").startswith(p)))
         sent = scratch.save(sent.select("root", "src", "dst", F.lit("DISPATCHES").alias("kind"), F.lit(level).alias("level"), F.lit(None).cast("int").alias("line"), "confidence", *[F.lit(None).cast(t).alias(n) for n, t in empty_types.items() if n != "line"]))

@@ -142,18 +142,10 @@ def f26_routes(spark, sf):
     return view(spark, sf, "route").where("method not in ('CLI', 'TOOL') and upper(method) = 'GET'").select("id", "method", "path")
 
 
-@query("""with w as (select distinct path w from route where k % 70 = 0), e as (select w, id, case when path = w then 0 else 1 end r from w join route on path = w or (contains(path, w) and starts_with(w, '/') and method not in ('CLI', 'TOOL'))),
-b as (select w, min(r) r from e group by w) select e.w wanted, e.id, count(*) over (partition by e.w) n_found from e join b on b.w = e.w and b.r = e.r""")
-def f27_find_route(spark, sf):
-    """Exact paths first, else paths that contain the text; the stated texts are a small broadcast set."""
-    route = view(spark, sf, "route")
-    return _find_route(route, route.where("k % 70 = 0"))
-
-
 @query("""with w as (select distinct path w from route), e as (select w, id, case when path = w then 0 else 1 end r from w join route on path = w or (contains(path, w) and starts_with(w, '/') and method not in ('CLI', 'TOOL'))),
 b as (select w, min(r) r from e group by w) select e.w wanted, e.id, count(*) over (partition by e.w) n_found from e join b on b.w = e.w and b.r = e.r""")
-def f27_find_route_whole(spark, sf):
-    """The same for the path of every route."""
+def f27_find_route(spark, sf):
+    """Exact paths first, else paths that contain the text, for the path of every route."""
     route = view(spark, sf, "route")
     return _find_route(route, route)
 
@@ -253,13 +245,39 @@ def a15_run_deltas(spark, sf):
     return per.withColumn("delta", F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0)))
 
 
-@query("with q as (select embedding e from embeddings where vec_id = 0) select vec_id, round(list_sum(list_transform(list_zip(embedding, (select e from q)), lambda x: cast(x[1] as double) * cast(x[2] as double))), 3) score from embeddings order by list_sum(list_transform(list_zip(embedding, (select e from q)), lambda x: cast(x[1] as double) * cast(x[2] as double))) desc, vec_id limit 10")
+@query("""with q as (select vec_id query_id, embedding e from embeddings where vec_id % 100 = 0), d as (select query_id, vec_id, list_sum(list_transform(list_zip(embedding, e), lambda x: cast(x[1] as double) * cast(x[2] as double))) d from q, embeddings)
+select query_id, vec_id, round(d, 3) score from (select *, row_number() over (partition by query_id order by round(d, 6) desc, vec_id) n from d) where n <= 10""")
 def l07_vector_top(spark, sf):
-    """The ten nearest vectors of one query vector, by dot product; a top-k by design."""
-    e = read_table(spark, sf, "embeddings")
-    one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))  # one row
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return e.crossJoin(one).select("vec_id", dot.alias("d")).orderBy(F.desc("d"), "vec_id").limit(10).select("vec_id", F.round("d", 3).alias("score"))
+    """The ten nearest vectors of every query vector (ids divisible by 100) by dot product, exact. The stated queries are
+    taken in blocks of one matrix each, so a task holds a block and a batch; ten per query and batch go to the merge."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Window
+
+    e = read_table(spark, sf, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    asked = e.where("vec_id % 100 = 0")
+    blocks = max(1, -(-asked.count() // 20_000))
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.col("vec_id") / 100, F.lit(blocks)) == b).collect()  # 20,000 vectors at most
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+
+        def near(batches, shared=shared):
+            ids, queries = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                mine, vectors = pdf.vec_id.to_numpy(), np.stack(pdf.embedding.to_numpy()).astype(np.float64)
+                for a in range(0, len(ids), 500):
+                    score = np.round(queries[a : a + 500] @ vectors.T, 6)
+                    order = np.lexsort((np.broadcast_to(mine, score.shape), -score), axis=1)[:, :10]
+                    q = np.repeat(ids[a : a + 500], order.shape[1])
+                    yield pd.DataFrame({"query_id": q, "vec_id": mine[order].ravel(), "d": np.take_along_axis(score, order, 1).ravel()})
+
+        found = e.mapInPandas(near, "query_id long, vec_id long, d double")
+        out = found if out is None else out.unionByName(found)
+    first = Window.partitionBy("query_id").orderBy(F.desc("d"), "vec_id")
+    return out.withColumn("n", F.row_number().over(first)).where("n <= 10").select("query_id", "vec_id", F.round("d", 3).alias("score"))
 
 
 @query("select t as \"text\", kind, id from (select t, kind, id, row_number() over (partition by t order by r, id) n from (select qualified_name t, 'Function' kind, id, 0 r from fn union all select qualified_name, 'Class', id, 1 from cls)) where n = 1")
