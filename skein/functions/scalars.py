@@ -12,7 +12,7 @@ def path_params(path: Column) -> Column:
 
 
 def _url_text(url: Column) -> Column:
-    return F.trim(F.translate(url, "`", ""))
+    return F.btrim(F.trim(url), F.lit("`"))
 
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
@@ -31,7 +31,7 @@ def url_path(url: Column) -> Column:
     inner = F.regexp_extract(t, _SCHEME + r"[^/?#]*([^?#]*)", 1)
     path = F.when(t.rlike(_SCHEME), F.when(inner == "", t).otherwise(inner)).otherwise(F.substring_index(t, "?", 1))
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.when((t == "") | t.contains("+") | t.contains("concat"), "").otherwise(path_params(path))
+    return F.when((t == "") | path.contains("+") | path.contains("concat"), "").otherwise(path_params(path))
 
 
 def query_type(sql: Column) -> Column:
@@ -65,7 +65,7 @@ def route_role(framework: Column) -> Column:
 
 def proto_service(name: Column) -> Column:
     """Service name in the names of generated clients, servers and stubs; '' if there is none."""
-    patterns = [r"^New(\w+)Client$", r"^Register(\w+)Server$", r"^add_(\w+)Servicer_to_server$", r"^(\w+?)(?:Blocking|Future)?Stub$", r"^(\w+)Grpc$"]
+    patterns = [r"^New(.+)Client$", r"^Register(.+)Server$", r"^(.+)Stub$", r"^add_(.+)Servicer_to_server$", r"^(.+)Grpc$"]
     found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in patterns]
     return F.coalesce(*found, F.lit(""))
 
@@ -75,8 +75,12 @@ def rpc_method(name: Column) -> Column:
 
 
 def derive_package(path: Column) -> Column:
-    """Dotted package of a file path, without extension, /index and /__init__."""
-    return F.translate(F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"/(index|__init__)$", ""), "/", ".")
+    """Dotted package of a file path, without the extension of a TypeScript, JavaScript or Python file and without a last
+    /index or /__init__; one of these alone stays."""
+    base = path
+    for ext in (".ts", ".tsx", ".js", ".jsx", ".py"):
+        base = F.regexp_replace(base, ext.replace(".", r"\.") + "$", "")
+    return F.translate(F.regexp_replace(F.regexp_replace(F.translate(base, "\\", "/"), "/index$", ""), "/__init__$", ""), "/", ".")
 
 
 def symbol_id(file_path: Column, qualified_name: Column, start_line: Column) -> Column:
@@ -110,7 +114,8 @@ def simple_identifier(text: Column) -> Column:
 
 
 def enum_constant(text: Column) -> Column:
-    return text.rlike(r"^[A-Z]\w*\.[A-Z][A-Z0-9_]*$")
+    """An upper-case first letter, then behind the first dot anything without small letters."""
+    return text.rlike(r"^[A-Z][^.]*\.[^a-z]+$")
 
 
 def annotation_base(text: Column) -> Column:
@@ -124,10 +129,12 @@ def annotation_params(text: Column) -> Column:
 
 
 def memory_limit(text: Column) -> Column:
-    """Bytes of texts such as 4GB; null if unreadable."""
-    n = F.regexp_extract(F.upper(F.trim(text)), r"^(\d+)\s*([KMGT]?)I?B?$", 1).try_cast("long")
-    unit = F.regexp_extract(F.upper(F.trim(text)), r"^(\d+)\s*([KMGT]?)I?B?$", 2)
-    return n * F.when(unit == "K", 1 << 10).when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).when(unit == "T", 1 << 40).otherwise(1)
+    """Bytes of texts such as 4GB or 1.5 MB; the greatest long for '' and 0 (no limit); null if unreadable."""
+    t = F.upper(F.trim(text))
+    unit = F.regexp_extract(t, r"(GB|MB|KB|B)?$", 1)
+    number = F.trim(F.regexp_replace(t, r"(GB|MB|KB|B)$", "")).try_cast("double")
+    scale = F.when(unit == "GB", 1 << 30).when(unit == "MB", 1 << 20).when(unit == "KB", 1 << 10).otherwise(1)
+    return F.when(t.isin("", "0"), (1 << 63) - 1).otherwise((number * scale).cast("long"))
 
 
 def flow_parts(context: Column) -> Column:
@@ -149,8 +156,13 @@ def segments_match(a: Column, b: Column) -> Column:
 
 # File conventions.
 EXTENSIONS = {"java": "java", "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
-TEST_SEGMENTS = ("test", "tests", "__tests__", "testdata", "spec", "e2e")
-IGNORED_SEGMENTS = (".git", "node_modules", "vendor", "target", "build", "dist", "out", ".idea", ".vscode", "__pycache__", ".venv", "venv", "coverage", ".gradle", "bin", "obj")
+TEST_DIRECTORIES = ("test", "tests", "__tests__", "spec", "specs", "__mocks__")
+IGNORED_DIRECTORIES = (
+    "node_modules", ".git", "__pycache__", "vendor", "dist", "build", ".gradle", ".idea", ".vscode", ".fcg", "target", ".next", ".nuxt", "out", "bin", "obj", ".cache", "coverage", ".tox", ".mypy_cache",
+    ".pytest_cache", "venv", ".venv",
+)
+TEST_NAMES = {"go": r"_test\.go$", "java": r"(Test|Tests|Spec)(\.java)?$", "python": r"^test_|_test(\.py)?$", "typescript": r"\.(test|spec)\.[tj]sx?$", "javascript": r"\.(test|spec)\.[tj]sx?$"}
+SQL_KEYWORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "WITH", "FROM", "WHERE", "JOIN", "SET", "INTO", "VALUES")
 
 
 def language_of(path: Column) -> Column:
@@ -159,14 +171,32 @@ def language_of(path: Column) -> Column:
 
 
 def is_test_file(path: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
-    return name.rlike(r"(Test|Tests|IT)\.java$|_test\.go$|^test_.*\.py$|_test\.py$|\.(test|spec)\.[tj]sx?$")
+    """Whether the name is that of a test in the language of its extension."""
+    name, language = F.substring_index(path, "/", -1), language_of(path)
+    out = F.lit(False)
+    for key, pattern in TEST_NAMES.items():
+        out = F.when(language == key, name.rlike(pattern)).otherwise(out)
+    return out
 
 
 def in_segments(path: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, names)))
 
 
+def in_test_directory(path: Column) -> Column:
+    """Whether a file lies in a test directory; for Java, and where the language is unknown, also below src/test."""
+    return in_segments(path, TEST_DIRECTORIES) | language_of(path).isin("java", "") & F.regexp_replace(path, r"[^/]*$", "").contains("src/test/")
+
+
+def in_ignored_directory(path: Column, rules: tuple[str, ...] = ()) -> Column:
+    return in_segments(path, IGNORED_DIRECTORIES + rules)
+
+
+def definition_category(extension: Column, queries: tuple[str, ...], schemas: tuple[str, ...]) -> Column:
+    """query_def or schema_def by extension, '' for others; the first takes precedence."""
+    return F.when(extension.isin(*queries), "query_def").when(extension.isin(*schemas), "schema_def").otherwise("")
+
+
 def grpc_target(target: Column) -> Column:
     """Host of a gRPC target: without scheme (text up to :///) and port."""
     bare = F.when(target.contains(":///"), F.substring_index(target, ":///", -1)).otherwise(target)
@@ -174,5 +204,114 @@ def grpc_target(target: Column) -> Column:
 
 
 def is_sql_stub(text: Column) -> Column:
-    """Whether a text holds an SQL keyword as a word, in any case."""
-    return F.upper(text).rlike(r"\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|INTO|VALUES|SET|ORDER BY|GROUP BY|HAVING|LIMIT)\b")
+    """Whether a text holds an SQL keyword anywhere, in any case."""
+    return F.upper(text).rlike("|".join(SQL_KEYWORDS))
+
+
+def grpc_invoke(path: Column) -> Column:
+    """(service, method) of /Service/Method; empty texts without a second part."""
+    bare = F.regexp_replace(path, "^/", "")
+    return F.when(bare.contains("/"), F.struct(F.substring_index(bare, "/", 1).alias("service"), F.regexp_replace(bare, "^[^/]*/", "").alias("method"))).otherwise(F.struct(F.lit("").alias("service"), F.lit("").alias("method")))
+
+
+def scoped_key(scope: Column, name: Column) -> Column:
+    """scope:name, or the name alone where there is no scope."""
+    return F.when(F.coalesce(scope, F.lit("")) == "", name).otherwise(F.concat(scope, F.lit(":"), name))
+
+
+def owner_outside_parens(text: Column) -> Column:
+    """The text before its last dot outside parentheses, '' without one; one pass from the right with the depth."""
+    def close(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c == ")", 1).when(c == "(", -1).otherwise(0)
+        hit = (c == ".") & (acc["depth"] == 0) & (acc["at"] < 0)
+        return F.struct((acc["i"] + 1).alias("i"), depth.alias("depth"), F.when(hit, acc["i"]).otherwise(acc["at"]).alias("at"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("at"))
+    at = F.aggregate(F.split(F.reverse(text), ""), start, close)["at"]
+    return F.when(at >= 0, F.substring(text, F.lit(1), F.length(text) - at - 1)).otherwise("")
+
+
+def multi_values(text: Column) -> Column:
+    """Values of an annotation argument: {"/a", "/b"} or one value; an empty text is one empty value."""
+    bare = F.regexp_replace(F.trim(text), r"^\{([\s\S]*)\}$", "$1")
+    return F.when(F.trim(text) == "", F.array(F.lit(""))).otherwise(F.transform(F.split(bare, ","), lambda x: F.btrim(F.trim(x), F.lit('"'))))
+
+
+def request_methods(text: Column) -> Column:
+    """HTTP verbs of RequestMethod.X values, in order; others are left out."""
+    verb = lambda x: F.regexp_extract(x, r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH)", 1)
+    return F.filter(F.transform(multi_values(text), verb), lambda x: x != "")
+
+
+def annotation_value(text: Column) -> Column:
+    """First quoted text among an annotation's arguments, else the bare value; '' without arguments."""
+    inner = F.trim(F.regexp_extract(text, r"^[^(]*\(([\s\S]*)\)", 1))
+    inner = F.regexp_replace(inner, r"^(value|path)\s*=\s*", "")
+    inner = F.regexp_replace(F.regexp_replace(inner, r"^\{", ""), r"\}$", "")
+    quoted = F.regexp_extract(inner, r'^[^"]*"([^"]*)"', 1)
+    return F.when(inner.rlike(r'^[^"]*"[^"]*"'), quoted).otherwise(F.btrim(inner, F.lit("\"'")))
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(F.trim(text), r"^(\S*)", 1)
+
+
+def first_quoted(text: Column) -> Column:
+    return F.regexp_extract(text, r"""["']([^"']*)["']""", 1)
+
+
+def route_of_annotations(names: Column, values: Column) -> Column:
+    """(verb, path) of the first mapping annotation among parallel arrays of names and first values; both '' if none."""
+    verbs = F.create_map(*[x for k in ("Get", "Post", "Put", "Delete", "Patch") for x in (F.lit(k + "Mapping"), F.lit(k.upper()))])
+    hits = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: verbs[x["n"]].isNotNull())
+    hit = F.try_element_at(hits, F.lit(1))
+    return F.struct(F.coalesce(verbs[hit["n"]], F.lit("")).alias("method"), F.coalesce(hit["v"], F.lit("")).alias("path"))
+
+
+def staleness_message(reason: Column, last: Column, current: Column, added: Column, modified: Column, deleted: Column) -> Column:
+    """Warning text of a stale index; '' for other reasons."""
+    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}")))
+    parts = F.array_join(F.array_compact(F.array(part(added, "added"), part(modified, "modified"), part(deleted, "deleted"))), ", ")
+    return (
+        F.when(reason == "not_indexed", "Index not found. Run index_repository to build the index.")
+        .when(reason == "new_commits", F.format_string("Index outdated: branch has new commits (indexed: %s, current: %s). Consider re-indexing.", F.substring(last, 1, 7), F.substring(current, 1, 7)))
+        .when(reason == "files_changed", F.concat(F.lit("Index outdated: "), parts, F.lit(" since last index. Consider re-indexing.")))
+        .otherwise("")
+    )
+
+
+def is_getter(name: Column, is_static: Column, n_params: Column, n_returns: Column, complexity: Column, lines: Column) -> Column:
+    """get.. or is.. of more than three letters without parameters, with a result, one branch and one line of body (lines:
+    last line less first)."""
+    return ~is_static & (n_params == 0) & (n_returns > 0) & name.rlike("^(get|is)") & (F.length(name) > 3) & (complexity <= 1) & (lines - 1 <= 1)
+
+
+def is_setter(name: Column, is_static: Column, n_params: Column, returns_nothing: Column, complexity: Column, lines: Column) -> Column:
+    return ~is_static & (n_params == 1) & name.startswith("set") & (F.length(name) > 3) & returns_nothing & (complexity <= 1) & (lines - 1 <= 1)
+
+
+def is_catch_all(segment: Column) -> Column:
+    """**, *, [...x] and [[...x]] stand for all further segments."""
+    return segment.isin("**", "*") | segment.startswith("[...") | segment.startswith("[[...")
+
+
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def accepts_arguments(params: Column, n_arguments: Column) -> Column:
+    """Whether a parameter list (array of structs with type and has_default) takes so many arguments: all but the last
+    of a variadic one, else from the required to all."""
+    n, last = F.size(params), F.try_element_at(params, F.lit(-1))
+    required = F.size(F.filter(params, lambda p: ~F.coalesce(p["has_default"], F.lit(False))))
+    return F.when((n > 0) & F.coalesce(last["type"], F.lit("")).endswith("..."), n_arguments >= n - 1).otherwise(n_arguments.between(required, n))
+
+
+def in_owner(qualified_name: Column, owner: Column) -> Column:
+    """Whether a name lies in a class: it holds .Owner. or begins with Owner.; a pointer sign before the owner is dropped."""
+    bare = F.regexp_replace(owner, r"^\*", "")
+    return qualified_name.contains(F.concat(F.lit("."), bare, F.lit("."))) | qualified_name.startswith(F.concat(bare, F.lit(".")))
+
+
+def matches_import(qualified_name: Column, module: Column) -> Column:
+    return (qualified_name == module) | qualified_name.startswith(F.concat(module, F.lit(".")))

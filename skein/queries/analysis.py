@@ -58,14 +58,6 @@ def n02_interface_impl(spark, sf):
     return view(spark, sf, "fn").select("id", F.when(F.size(seg) >= 2, F.element_at(seg, -2)).alias("c")).join(impl, "c", "left_semi").select("id")
 
 
-@query("select source_project, branch, max(last_indexed_at) last_indexed_at, max(last_indexed_at) < (select max(last_indexed_at) from fingerprint_files) - 86400 * 90 stale from fingerprint_files group by 1, 2")
-def n08_staleness(spark, sf):
-    f = read_table(spark, sf, "fingerprint_files")
-    latest = f.agg(F.max("last_indexed_at").alias("now"))
-    per = f.groupBy("source_project", "branch").agg(F.max("last_indexed_at").alias("last_indexed_at"))
-    return per.crossJoin(F.broadcast(latest)).select("source_project", "branch", "last_indexed_at", (F.col("last_indexed_at") < F.col("now") - 86400 * 90).alias("stale"))  # one row
-
-
 def _resolved(spark, sf):
     calls = read_table(spark, sf, "calls")
     n = F.when(F.coalesce("params", F.lit("")) == "", 0).otherwise(F.size(F.split("params", '"name"')) - 1)

@@ -64,30 +64,34 @@ def j06_caller(spark, sf):
     return c.join(f, "caller_name").groupBy("call_id").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("m")).select("call_id", F.col("m.id").alias("caller"))
 
 
-@query("""select k, line, route_id from (select r.k, r.line, o.id route_id, row_number() over (partition by r.k, r.line, r.caller, r.path order by o.id) rn from remote_call r join (select * from route where method <> 'CLI') o
-on len(string_split(o.path, '/')) = len(string_split(r.path, '/')) and o.path = r.path and (r.method = '' or upper(r.method) = o.method)) where rn = 1
-union all select distinct 0, 0, id from route where ends_with(path, '/**') and method <> 'CLI' and exists (select 1 from remote_call r where starts_with(r.path, left(route.path, length(route.path) - 2)) and (r.method = '' or upper(r.method) = route.method))""")
+_PARAM = "regexp_matches(x, '\\{[^}]*\\}|:[A-Za-z_]\\w*|<[^>]*>|\\[[^\\]]*\\]|^\\d+$')"
+_SEGMENTS = "list_transform(list_filter(string_split(@, '/'), lambda x: x <> ''), lambda x: case when " + _PARAM + " then '{param}' else x end)"
+
+
+@query(f"""with c as (select distinct upper(method) m, path from remote_call), cs as (select m, path, {_SEGMENTS.replace('@', 'path')} s from c),
+r as (select path p, upper(method) q, framework, min(id) id from route where method <> 'CLI' group by 1, 2, 3), rs as (select *, {_SEGMENTS.replace('@', 'p')} s, list_filter(string_split(p, '/'), lambda x: x <> '')[-1] in ('**', '*') open from r)
+select m "method", path, min(id) route_id from cs join rs on (m = '' or q = '' or m = q) and case when framework in ('grpc', 'graphql') then lower(path) = lower(p) and m = q when open then len(cs.s) >= len(rs.s) - 1 and list_bool_and([true] || [cs.s[i] = rs.s[i] or cs.s[i] = '{{param}}' or rs.s[i] = '{{param}}' for i in range(1, len(rs.s))])
+ else len(cs.s) = len(rs.s) and list_bool_and([true] || [cs.s[i] = rs.s[i] or cs.s[i] = '{{param}}' or rs.s[i] = '{{param}}' for i in range(1, len(rs.s) + 1)]) end group by 1, 2""")
 def j09_route_match(spark, sf):
-    """First route of each remote call (equal path, method empty or equal), and the catch-all routes that some call meets.
-    Paths join on equality; catch-alls on their literal prefix of segments."""
-    calls = view(spark, sf, "remote_call").select("k", "line", "caller", "path", F.upper("method").alias("m")).distinct()
-    routes = view(spark, sf, "route").where("method <> 'CLI'")
-    hit = calls.join(routes.select("path", F.col("id").alias("route_id"), "method"), "path").where("m = '' or m = method")
-    first = hit.groupBy("k", "line", "caller", "path").agg(F.min("route_id").alias("route_id")).select("k", "line", "route_id")
-    open_ = routes.where(F.col("path").endswith("/**")).select("id", "method", F.expr("substring(path, 1, length(path) - 2)").alias("prefix"))
-    depths = F.filter(F.split("path", "/"), lambda s: s != "")
-    heads = calls.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(depths), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(depths, 1, i), "/"), F.lit("/")))).alias("prefix")).distinct()
-    caught = open_.join(heads, "prefix").where("m = '' or m = method").select(F.lit(0).cast("long").alias("k"), F.lit(0).alias("line"), F.col("id").alias("route_id")).distinct()
-    return first.unionByName(caught)
-
-
-@query("select b.id base, o.id override from cls c join extends_edge e on e.src = c.id join cls p on p.id = e.dst join fn o on regexp_replace(o.qualified_name, '\\.[^.]*$', '') = c.qualified_name join fn b on regexp_replace(b.qualified_name, '\\.[^.]*$', '') = p.qualified_name and b.name = o.name where not o.is_constructor and not b.is_constructor")
+    """Least route of each remote method and path, by segments with wildcards, catch-alls and the rules of RPC frameworks."""
+    from skein.operators.routes import match_routes
+
+    calls = view(spark, sf, "remote_call").select(F.upper("method").alias("method"), "path").distinct()
+    return match_routes(calls, view(spark, sf, "route").where("method <> 'CLI'"))
+
+
+@query("""with recursive up as (select src id, dst a from extends_edge union select u.id, e.dst from up u join extends_edge e on e.src = u.a), m as (select f.id, f.name, c.id owner, len(string_split(coalesce(f.params, ''), '"name"')) - 1 k from fn f join cls c on c.qualified_name = regexp_replace(f.qualified_name, '\\.[^.]*$', '') where not f.is_constructor),
+o as (select distinct b.id base, c.id override from m c join up on up.id = c.owner and up.a <> c.owner join m b on b.owner = up.a and b.name = c.name and b.k = c.k) select 'OVERRIDES' kind, override src, base dst from o union all select 'DISPATCHES', base, override from o""")
 def j16_overrides(spark, sf):
-    cls, fn, ext = view(spark, sf, "cls"), view(spark, sf, "fn").where("not is_constructor"), view(spark, sf, "extends_edge")
-    owner = S.owner_name(F.col("qualified_name")).alias("owner")
-    m = fn.select("id", "name", owner).join(cls.select(F.col("id").alias("class_id"), F.col("qualified_name").alias("owner")), "owner").select("id", "name", "class_id")
-    child = m.select(F.col("id").alias("override"), "name", F.col("class_id").alias("src")).join(ext, "src")
-    return child.join(m.select(F.col("id").alias("base"), "name", F.col("class_id").alias("dst")), ["name", "dst"]).select("base", "override")
+    """Methods that override one of the same name and number of parameters in any ancestor, and the dispatches back."""
+    from skein.operators.traverse import ancestors
+    from skein.storage import Scratch
+
+    n = (F.size(F.split(F.coalesce("params", F.lit("")), '"name"')) - 1).alias("k")
+    m = view(spark, sf, "fn").where("not is_constructor").select("id", "name", n, S.owner_name(F.col("qualified_name")).alias("qualified_name")).join(view(spark, sf, "cls").select(F.col("id").alias("owner"), "qualified_name"), "qualified_name").select("id", "name", "k", "owner")
+    up = ancestors(view(spark, sf, "extends_edge"), 1_000, Scratch(spark)).select(F.col("id").alias("owner"), "ancestor")
+    hit = m.join(up, "owner").select(F.col("id").alias("override"), "name", "k", F.col("ancestor").alias("owner")).join(m.withColumnRenamed("id", "base"), ["owner", "name", "k"]).select("base", "override").distinct()
+    return hit.select(F.lit("OVERRIDES").alias("kind"), F.col("override").alias("src"), F.col("base").alias("dst")).unionByName(hit.select(F.lit("DISPATCHES").alias("kind"), F.col("base").alias("src"), F.col("override").alias("dst")))
 
 
 @query("""with s as (select l_orderkey k, list_sort(list(distinct l_linenumber)) has from lineitem group by 1), i as (select unnest(range(1, 8)) need)
@@ -159,20 +163,26 @@ def j15_heritage(spark, sf):
     return found.join(n, "child").select("child", "parent", F.when(F.col("n") == 1, 0.85).otherwise(0.70).alias("confidence"))
 
 
-@query("select service, count(*) n from remote_call group by 1")
-def j12_remote_services(spark, sf):
-    """Remote calls per external service."""
-    return view(spark, sf, "remote_call").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+@query("""with r as (select lower(path) p, upper(method) m, min(id) id from route where framework <> 'feign' group by 1, 2) select distinct c.caller src, coalesce(r.id, 'service:' || cast(c.service as varchar)) dst, case when r.id is null then 'REMOTE_CALLS_EXT' else 'REMOTE_CALLS_ROUTE' end kind from remote_call c left join r on r.p = lower(c.path) and r.m = upper(c.method)""")
+def j12_remote_edges(spark, sf):
+    """Edges of remote calls: to the least provider route of method and path, else to the external service."""
+    calls = view(spark, sf, "remote_call").select("caller", F.lower("path").alias("p"), F.upper("method").alias("m"), "service").distinct()
+    j = calls.join(_least_routes(spark, sf), ["p", "m"], "left")
+    return j.select(F.col("caller").alias("src"), F.coalesce("id", F.concat(F.lit("service:"), F.col("service").cast("string"))).alias("dst"), F.when(F.col("id").isNull(), "REMOTE_CALLS_EXT").otherwise("REMOTE_CALLS_ROUTE").alias("kind")).distinct()
+
+
+def _least_routes(spark, sf):
+    """The least provider route of each method and path, so that a call meets one route however many share its path."""
+    return view(spark, sf, "route").where("framework <> 'feign'").groupBy(F.lower("path").alias("p"), F.upper("method").alias("m")).agg(F.min("id").alias("id"))
 
 
-@query("""select r.k, r.line, min(o.id) route_id, case when r.caller in (select src from handles) then 0.9 else 0.85 end confidence from remote_call r join route o on o.framework <> 'feign' and lower(o.path) = lower(r.path) and upper(o.method) = upper(r.method) and r.method <> '' group by r.k, r.line, r.caller""")
+@query("""with r as (select lower(path) p, upper(method) m, min(id) id from route where framework <> 'feign' group by 1, 2), own as (select distinct src from handles) select distinct c.k, c.line, c.caller, r.id route_id, cast(case when own.src is not null then 0.9 else 0.85 end as double) confidence from remote_call c join r on r.p = lower(c.path) and r.m = upper(c.method) left join own on own.src = c.caller where c.method <> ''""")
 def j11_consumer_provider(spark, sf):
     """Provider of each remote call by method and path, surer where the caller handles a route itself."""
-    calls = view(spark, sf, "remote_call").where("method <> ''").select("k", "line", "caller", F.lower("path").alias("p"), F.upper("method").alias("m"))
-    routes = view(spark, sf, "route").where("framework <> 'feign'").select(F.lower("path").alias("p"), F.upper("method").alias("m"), "id")
+    calls = view(spark, sf, "remote_call").where("method <> ''").select("k", "line", "caller", F.lower("path").alias("p"), F.upper("method").alias("m")).distinct()
     local = view(spark, sf, "handles").select(F.col("src").alias("caller"), F.lit(1).alias("local")).distinct()
-    hit = calls.join(routes, ["p", "m"]).groupBy("k", "line", "caller").agg(F.min("id").alias("route_id")).join(local, "caller", "left")
-    return hit.select("k", "line", "route_id", F.when(F.col("local") == 1, 0.9).otherwise(0.85).alias("confidence"))
+    hit = calls.join(_least_routes(spark, sf), ["p", "m"]).join(local, "caller", "left")
+    return hit.select("k", "line", "caller", F.col("id").alias("route_id"), F.when(F.col("local") == 1, 0.9).otherwise(0.85).alias("confidence"))
 
 
 @query("""select p.event_id publisher, l.event_id listener, case when p.value < 50 then 0.9 else 0.85 end confidence from events p join events l on l.user_id = p.user_id and l.event_type = 'error' and l.ts > p.ts where p.event_type = 'signup'""")
