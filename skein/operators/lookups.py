@@ -72,6 +72,14 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_five(df: DataFrame, key: str) -> DataFrame:
+    """key, shown: the five least ids of each key, joined by commas. Ids are ranked by a window with a limit that Spark
+    applies before the shuffle as well, so no more than five of a key are gathered anywhere."""
+    w = Window.partitionBy(key).orderBy("id")
+    few = df.select(key, "id").distinct().withColumn("_n", F.row_number().over(w)).where("_n <= 5")
+    return few.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("shown"))
+
+
 def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import enum_constant
 from skein.operators.lookup import hot_keys, lookup_join
+from skein.operators.lookups import first_five
 
 # Confidence of each strategy.
 CONFIDENCE = {"pre_resolved": 0.95, "type_exact": 0.95, "same_file": 0.85, "arg_count": 0.85, "name_unique": 0.70, "external": 0.70}
@@ -27,7 +29,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, external: DataFrame) -
     by_qn = functions.select("id", F.col("qualified_name").alias("called_name")).unionByName(external.select("id", F.col("qualified_name").alias("called_name"))).groupBy("called_name").agg(F.min("id").alias("pre_id"))
     by_file = one(f, ["called_name", "file_path"], "file_id")
     by_args = one(f, ["called_name", "arg_count"], "args_id")
-    by_name = f.groupBy("called_name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("any_id"), F.slice(F.array_sort(F.collect_set("id")), 1, 5).alias("shown"))
+    by_name = f.groupBy("called_name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("any_id")).join(first_five(f.withColumnRenamed("called_name", "name"), "name").withColumnRenamed("name", "called_name"), "called_name")
     by_ext = one(external.select("id", F.col("name").alias("called_name")), ["called_name"], "ext_id")
     hot = hot_keys(c, ["called_name"])
     j = lookup_join(c, by_qn, ["called_name"], "left", hot).join(by_file, ["called_name", "file_path"], "left")
@@ -41,8 +43,12 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, external: DataFrame) -
     target = F.expr("case resolved_by when 'pre_resolved' then pre_id when 'same_file' then file_id when 'arg_count' then args_id when 'name_unique' then any_id when 'external' then ext_id end")
     value = F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v))])[F.col("resolved_by")]
     edges = j.where("resolved_by is not null").select("call_id", target.alias("target_id"), "resolved_by", value.alias("confidence"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
-    hint = F.when(F.col("receiver_expr").rlike(r"^super"), "super_field_call").when(F.col("receiver_expr").contains("("), "chained_call").when(F.coalesce("receiver_expr", F.lit("")) != "", "untyped_receiver").otherwise("ambiguous_project_call")
-    hints = j.where("resolved_by is null and candidates > 1").select("call_id", hint.alias("hint_type"), "candidates", F.array_join("shown", ",").alias("shown"))
+    r = F.coalesce("receiver_expr", F.lit(""))
+    hint = (
+        F.when((r == "super") | r.startswith("super."), "super_field_call").when(r.contains("("), "chained_call").when((r != "") & ~r.contains("."), "lambda_call")
+        .when((r != "") & enum_constant(r), "enum_method").when(F.col("candidates") <= 9, "ambiguous_project_call").otherwise("untyped_receiver")
+    )
+    hints = j.where("resolved_by is null and candidates > 1").select("call_id", hint.alias("hint_type"), "candidates", "shown")
     return edges, hints
 
 

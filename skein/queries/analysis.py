@@ -80,7 +80,7 @@ def c01_resolve_calls(spark, sf):
     return _resolved(spark, sf)[0]
 
 
-@query(_RESOLVE + "select call_id, case when regexp_matches(receiver_expr, '^super') then 'super_field_call' when contains(receiver_expr, '(') then 'chained_call' when coalesce(receiver_expr, '') <> '' then 'untyped_receiver' else 'ambiguous_project_call' end hint_type, k candidates, shown from j where r is null and k > 1")
+@query(_RESOLVE + "select call_id, case when receiver_expr = 'super' or starts_with(receiver_expr, 'super.') then 'super_field_call' when contains(receiver_expr, '(') then 'chained_call' when receiver_expr <> '' and not contains(receiver_expr, '.') then 'lambda_call' when receiver_expr <> '' and ascii(receiver_expr) between 65 and 90 and not regexp_matches(receiver_expr[instr(receiver_expr, '.') + 1:], '[a-z]') and not ends_with(receiver_expr, '.') then 'enum_method' when k <= 9 then 'ambiguous_project_call' else 'untyped_receiver' end hint_type, k candidates, shown from j where r is null and k > 1")
 def c10_hints(spark, sf):
     return _resolved(spark, sf)[1]
 
