@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.storage import bounded, shuffle_partitions
+from skein.storage import Scratch, bounded, shuffle_partitions
 
 CHANGES = np.array(["added", "removed", "changed"])
 
@@ -100,9 +100,12 @@ def snapshot_changes(snapshots: DataFrame, group: list[str], at: str, delivered:
     buckets = max(shuffle_partitions(spark), -(-total // bucket_rows))
     compact = each.select(F.pmod(F.xxhash64("g", "k"), F.lit(buckets)).alias("b"), "g", "ord", "last_ord", "k", "k2", "c", "v")
     differing = compact.groupBy("b").applyInArrow(diff_arrays, "g long, ord int, k long, k2 int, change string")
-    # A removed key is read from the earlier snapshot, the others from the later one.
-    full = each.select("g", "ord", "k", "k2", "key").dropDuplicates(["g", "ord", "k", "k2"])
-    named = differing.join(full, ["g", "ord", "k", "k2"]).withColumn("ord", F.col("ord") + F.when(F.col("change") == "removed", 1).otherwise(0))
+    differing = Scratch(spark).save(differing)
+    # Full keys are read for differing hashes only: where these are few they go to the keys, else both are shuffled. A
+    # removed key is read from the earlier snapshot, the others from the later one.
+    keys = each.select("g", "ord", "k", "k2", "key")
+    found = keys.join(F.broadcast(differing) if bounded(differing, 500_000) else differing, ["g", "ord", "k", "k2"])
+    named = found.dropDuplicates(["g", "ord", "k", "k2", "change"]).withColumn("ord", F.col("ord") + F.when(F.col("change") == "removed", 1).otherwise(0))
     labels = index.select(*names, "at", "ord", g.alias("g"))
     out = named.join(F.broadcast(labels) if bounded(labels, 200_000) else labels, ["g", "ord"])
     return out.select(*[F.col(n).alias(c) for c, n in zip(group, names)], F.col("at").alias(at), "key", "change")
