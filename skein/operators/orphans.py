@@ -19,13 +19,34 @@ def orphan_keys(refs: DataFrame, records: DataFrame, scope: list[str]) -> DataFr
     existence deltas then says how many records are live. reason: missing (no record at all), late (all records begin
     after the month), else deleted. Null keys are no references.
     """
+    return orphans_of(reference_deltas(refs, records, scope), scope)
+
+
+def reference_deltas(refs: DataFrame, records: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, key, month, exist, refs, rows: the signed counts of `orphan_keys`, one row per key and month. Deltas of two
+    batches can be added up by `merge_deltas`, so a maintained state is never built again from all rows."""
     keys = [*scope, "key"]
     zero = F.lit(0).cast("long")
     base = records.where(F.col("key").isNotNull())
     begins = base.select(*keys, F.coalesce("since", F.lit(-1)).alias("month"), F.when((F.col("until") <= F.col("since")) | F.col("since").isNull(), 0).otherwise(1).cast("long").alias("exist"), zero.alias("refs"), F.lit(1).cast("long").alias("rows"))
     ends = base.where(F.col("until") > F.col("since")).select(*keys, F.col("until").alias("month"), F.lit(-1).cast("long").alias("exist"), zero.alias("refs"), zero.alias("rows"))
     wanted = refs.where(F.col("key").isNotNull() & F.col("month").isNotNull()).select(*keys, "month", zero.alias("exist"), F.col("n").cast("long").alias("refs"), zero.alias("rows"))
-    deltas = begins.unionByName(ends).unionByName(wanted).groupBy(*keys, "month").agg(F.sum("exist").alias("exist"), F.sum("refs").alias("refs"), F.sum("rows").alias("rows"))
+    return _added(begins.unionByName(ends).unionByName(wanted), keys)
+
+
+def _added(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    return deltas.groupBy(*keys, "month").agg(F.sum("exist").alias("exist"), F.sum("refs").alias("refs"), F.sum("rows").alias("rows"))
+
+
+def merge_deltas(state: DataFrame, change: DataFrame, scope: list[str]) -> DataFrame:
+    """The state after a batch of changes, whose counts may be negative (a reference or record taken back); keys and months
+    that come to nothing are dropped."""
+    return _added(state.unionByName(change), [*scope, "key"]).where("exist <> 0 or refs <> 0 or rows <> 0")
+
+
+def orphans_of(deltas: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, key, month, refs, reason) of the orphans that a state of deltas has."""
+    keys = [*scope, "key"]
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     counted = deltas.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.balanced import balanced_key_counts, balanced_key_stats
 from skein.operators.lookup import hot_keys, lookup_join
-from skein.operators.orphans import orphan_keys, orphan_rows
+from skein.operators.orphans import merge_deltas, orphan_keys, orphan_rows, orphans_of, reference_deltas
 from skein.operators.prefix_sum import number_rows
 from skein.operators.snapshots import snapshot_changes
 from skein.queries.processing import canonical_path
@@ -123,3 +123,17 @@ def test_snapshot_random_against_brute_force(spark):
             before = now
     rnd.shuffle(data)
     assert diff(spark, data, bucket_rows=7) == sorted(want, key=repr)
+
+
+def test_maintained_orphans_equal_those_of_all_rows(spark):
+    rnd = random.Random(8)
+    refs = [("a", rnd.choice("xyzw"), rnd.randint(1, 6), 1) for _ in range(40)]
+    records = [("a", rnd.choice("xyz"), s := rnd.choice([None, 1, 3, 5]), rnd.choice([None, None if s is None else s + 2])) for _ in range(6)]
+    r = lambda rows: spark.createDataFrame(rows, "scope string, key string, month int, n int")
+    k = lambda rows: spark.createDataFrame(rows, "scope string, key string, since int, until int")
+    state = reference_deltas(r(refs[:15]), k(records[:2]), ["scope"])
+    for a, z, b, y in ((15, 30, 2, 5), (30, 40, 5, 6)):
+        state = merge_deltas(state, reference_deltas(r(refs[a:z]), k(records[b:y]), ["scope"]), ["scope"])
+    assert rows(orphans_of(state, ["scope"])) == rows(orphan_keys(r(refs), k(records), ["scope"]))
+    back = reference_deltas(r([(s, key, m, -n) for s, key, m, n in refs]), k([]), ["scope"])
+    assert orphans_of(merge_deltas(state, back, ["scope"]), ["scope"]).count() == 0
