@@ -53,10 +53,12 @@ def compact(edges: DataFrame) -> DataFrame:
 
 
 def declared_type_only(edges: DataFrame, qualified_class: str) -> DataFrame:
-    """Edges of a reverse chain whose call of the root declares the class, and those above the kept callers (by level)."""
+    """Edges of a reverse chain whose call of the root declares the class, and those above the kept callers, level by level
+    up to the chain's last."""
     first = edges.where((F.col("level") == 1) & (F.col("dst") == F.col("root")) & (F.col("declared_type") == qualified_class))
     kept, frontier = first, first.select("root", F.col("src").alias("dst")).distinct()
-    for level in (2, 3):
+    last = edges.agg(F.max("level")).first()[0] or 1
+    for level in range(2, last + 1):
         more = edges.where(F.col("level") == level).join(frontier, ["root", "dst"], "left_semi")
         kept, frontier = kept.unionByName(more), more.select("root", F.col("src").alias("dst")).distinct()
     return kept

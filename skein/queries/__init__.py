@@ -3,7 +3,7 @@
 import importlib
 import importlib.util
 
-MODULES = ("processing", "hierarchy", "graph", "scalars", "lookups", "joins", "analysis", "extraction", "streams", "more", "receivers")
+MODULES = ("processing", "hierarchy", "graph", "scalars", "lookups", "joins", "analysis", "extraction", "streams", "more", "receivers", "indexing")
 
 
 def _modules():

@@ -76,6 +76,46 @@ def e28_conditional_queries(spark, sf):
     return q.select("file_path", "line", F.col("name").alias("variable"), F.col("target").alias("sql_text"), F.col("detail").alias("conditions")).distinct()
 
 
+_ALL = ("java", "go", "python", "typescript", "javascript")
+
+
+def e03_lambdas(spark, sf):
+    """Lambdas with the variable they are bound to or the call they are handed to."""
+    return _web(spark, sf, "lambda", _ALL).select("file_path", "line", F.col("name").alias("variable"), F.col("target").alias("handed_to"), F.col("detail").alias("receiver")).distinct()
+
+
+def e04_generated_accessors(spark, sf):
+    """Accessors that class annotations make for fields."""
+    return _web(spark, sf, "accessor", ("java",)).select("file_path", "line", F.col("target").alias("class"), F.col("name").alias("accessor"), F.col("method").alias("type"), F.col("detail").cast("int").alias("n_params")).distinct()
+
+
+def e05_switch_constants(spark, sf):
+    """Constants that switch labels name."""
+    return _web(spark, sf, "const_ref", _ALL).select("file_path", "line", F.col("name").alias("constant"), F.col("target").alias("path")).distinct()
+
+
+def e06_assignments(spark, sf):
+    """What variables are set to: copies, fields, results of calls and constructors."""
+    return _web(spark, sf, "assignment", _ALL).select("file_path", "line", F.col("name").alias("variable"), F.col("target").alias("value"), F.col("method").alias("kind")).distinct()
+
+
+def e08_chain_positions(spark, sf):
+    """Calls of chains with their depth from the innermost call and the line of the outermost."""
+    return _web(spark, sf, "chain", _ALL).select("file_path", "line", F.col("name").alias("called"), F.col("detail").cast("int").alias("chain_depth"), F.col("target").cast("int").alias("chain_line")).distinct()
+
+
+def x33_complexity(spark, sf):
+    """Cyclomatic complexity of every function: one more than its decisions, those of inner functions left to them."""
+    from skein.operators.lookups import smallest_span
+
+    files = read_table(spark, sf, "files").select("rel_path", "content").distinct()
+    f = file_facts(files).where("fact = 'function'").select("file_path", "qualified_name", F.col("line").alias("start_line"), "end_line").distinct()
+    f = f.withColumn("id", F.concat_ws(":", "file_path", "qualified_name", "start_line"))
+    d = web_facts(files).where("fact = 'decision'").groupBy("file_path", "line").agg(F.count(F.lit(1)).alias("n"))
+    n = d.join(smallest_span(d.select("file_path", "line"), f), ["file_path", "line"]).groupBy("id").agg(F.sum("n").alias("n"))
+    return f.join(n, "id", "left").select("file_path", "qualified_name", "start_line", (F.coalesce("n", F.lit(0)) + 1).alias("complexity"))
+
+
 _SCRIPT = ("typescript", "javascript")
 MADE = [
     _routes("e09_java_routes", ("java",), False), _routes("e14_go_routes", ("go",), False), _routes("e19_python_routes", ("python",), False), _routes("e24_script_routes", _SCRIPT, False),
@@ -86,7 +126,7 @@ MADE = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (e01_symbols, e02_calls, e18_imports, e12_heritage, e07_annotations, e28_conditional_queries, *MADE)}
+    return {f.__name__: f for f in (e01_symbols, e02_calls, e18_imports, e12_heritage, e03_lambdas, e04_generated_accessors, e05_switch_constants, e06_assignments, e07_annotations, e08_chain_positions, e28_conditional_queries, x33_complexity, *MADE)}
 
 
 def oracle_sql() -> dict:

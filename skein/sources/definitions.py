@@ -110,3 +110,39 @@ def last_dot_outside_parens(text: str) -> int:
         if text[i] == "." and depth == 0:
             return i
     return -1
+
+
+def path_aliases(text: str) -> list[tuple[str, str]]:
+    """(alias prefix, target folder) of a tsconfig: its paths below baseUrl, stars dropped; comments and trailing commas
+    are allowed. A baseUrl without paths is the alias ''."""
+    plain = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m.group(1) or "", text)
+    try:
+        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)).get("compilerOptions", {})
+    except (ValueError, AttributeError):
+        return []
+    base = str(options.get("baseUrl", "")).removeprefix("./").strip("/")
+    join = lambda t: "/".join(x for x in (base if base != "." else "", str(t).removeprefix("./").rstrip("*").strip("/")) if x)
+    found = [(alias.rstrip("*"), join(targets[0])) for alias, targets in options.get("paths", {}).items() if targets]
+    return found or ([("", base)] if base else [])
+
+
+# Where each kind of storage is found if nothing else is said.
+STORAGE_DEFAULTS = {"falkordb": "localhost:6379", "kuzu": "graph.db", "ladybug": "graph.db", "parquet": "warehouse"}
+
+
+def storage_address(backend: str, explicit: str = "", configured: str = "", environment: str = "") -> str:
+    """Address of a store: one stated on the call, else the environment's, else the configuration's, else the default."""
+    return explicit or environment or configured or STORAGE_DEFAULTS.get(backend, "")
+
+
+def lombok_accessors(annotations: list[str], fields: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """(name, return type, number of parameters) of the accessors that class annotations make for fields (name, type)."""
+    getters, setters = {"Data", "Getter", "Value"} & set(annotations), {"Data", "Setter"} & set(annotations)
+    out: list[tuple[str, str, int]] = []
+    for name, type_ in fields:
+        cap = name[:1].upper() + name[1:]
+        if getters:
+            out.append((("is" if type_ == "boolean" else "get") + cap, type_, 0))
+        if setters:
+            out.append(("set" + cap, "void", 1))
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import language_of
+from skein.sources.definitions import lombok_accessors
 from skein.syntax.lexers import lex
 
 WEB_FACTS = "file_path string, language string, fact string, line int, name string, target string, method string, framework string, detail string"
@@ -39,6 +40,9 @@ ORM = {
     },
 }
 ORM_RECEIVERS = {"python": r"(?:^|\.)(?:session|db|objects|cursor)$", "go": r"(?:^|\.)(?:db|DB|tx|gorm)$", "typescript": r"(?i)(?:repository|repo|prisma\.\w+|model)$"}
+# Tokens that count towards the complexity of a function.
+_BRANCHES = {"if", "for", "while", "case", "catch", "?", "&&", "||"}
+DECISIONS = {"java": _BRANCHES, "typescript": _BRANCHES | {"??"}, "javascript": _BRANCHES | {"??"}, "go": {"if", "for", "case", "&&", "||"}, "python": {"if", "elif", "for", "while", "except", "with", "and", "or"}}
 _STATEMENT = re.compile(r"\s*(select|insert|update|delete)\s", re.I)
 _TABLE = re.compile(r"(?:\s(?:from|into|join)\s+|^\s*update\s+)([^\s,();]+)", re.I)
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
@@ -56,13 +60,15 @@ class _Source:
         self.tokens = [t for t in lex(language, text).tokens if t.kind != "NL"]
         self.close: dict[int, int] = {}
         self.open_at: dict[int, int] = {}
+        self.around: list[int] = []  # innermost open bracket around each token, -1: none
         stack: list[int] = []
         for i, t in enumerate(self.tokens):
-            if t.kind in _OPEN:
-                stack.append(i)
-            elif t.kind in _CLOSE and stack:
+            if t.kind in _CLOSE and stack:
                 o = stack.pop()
                 self.close[o], self.open_at[i] = i, o
+            self.around.append(stack[-1] if stack else -1)
+            if t.kind in _OPEN:
+                stack.append(i)
         self.rows: list[tuple] = []
 
     def kind(self, i: int) -> str:
@@ -149,6 +155,7 @@ class _Source:
         """Annotations with their owners, and the routes they make."""
         java, python = self.language == "java", self.language == "python"
         i, n, depth = 0, len(self.tokens), 0
+        fields: list[tuple[str, str, str, int]] = []
         pending: list[tuple[int, str, dict[str, str]]] = []
         classes: list[tuple[int, str, list[str], str, str]] = []  # depth, name, prefixes, kind (feign, controller, ''), service
         while i < n:
@@ -187,7 +194,16 @@ class _Source:
                     if a in ("DubboReference", "GrpcClient"):
                         self.put("remote", at, self.word(i - 1), self.values(params.get("value", ""))[0] or self.word(i - 2), "", "dubbo" if a == "DubboReference" else "grpc", "pending")
                 pending = []
+                if java and classes and classes[-1][0] == depth and self.is_name(i - 1) and (self.is_name(i - 2) or self.kind(i - 2) in (">", "]")):
+                    fields.append((classes[-1][1], self.word(i - 1), self.word(i - 2) if self.is_name(i - 2) else "", i - 1))
             i += 1
+        accessors: dict[str, set[str]] = {}
+        for fact, _, a, target, kind, *_ in self.rows:
+            if fact == "annotation" and kind == "class" and a in ("Data", "Getter", "Setter", "Value"):
+                accessors.setdefault(target, set()).add(a)
+        for owner, name, type_, at in fields:
+            for accessor, returns, n in lombok_accessors(sorted(accessors.get(owner, ())), [(name, type_)]):
+                self.put("accessor", at, accessor, owner, returns, "", str(n))
 
     def method_routes(self, pending: list, name: str, owner: tuple | None, java: bool, python: bool) -> None:
         handler = f"{owner[1]}.{name}" if owner and not python else name
@@ -401,8 +417,68 @@ class _Source:
             j -= 1
         return ""
 
+    # ---- Expressions
+
+    def expressions(self) -> None:
+        """Constants of switch labels, lambdas, assignments of variables, chains of calls, and decisions."""
+        decisions = DECISIONS[self.language]
+        for i in range(len(self.tokens)):
+            k = self.kind(i)
+            if k in decisions and not (k == "?" and self.kind(i + 1) in (".", ":", ")", ",", ">", ";")):
+                self.put("decision", i, k)
+            if k == "case" and self.is_name(i + 1) and self.language != "python":
+                j = i + 1
+                while self.kind(j) not in (":", "->", "{", "}", ";", "case", ""):
+                    if self.is_name(j) and self.kind(j + 1) in (":", "->", ",", ".") and self.kind(j - 1) != ".":
+                        z = j
+                        while self.kind(z + 1) == "." and self.is_name(z + 2):
+                            z += 2
+                        self.put("const_ref", j, self.word(z), self.shown((j, z + 1)))
+                        j = z
+                    j += 1
+            elif k in ("->", "=>", "lambda") and (k != "->" or self.language == "java"):
+                o = i - 1
+                first = self.open_at.get(o, o) if k != "lambda" else i
+                inside = self.around[first]
+                inside = inside if inside > 0 and self.kind(inside) == "(" and self.is_name(inside - 1) else -1
+                bound = self.word(first - 2) if self.kind(first - 1) == "=" else ""
+                self.put("lambda", i, bound, self.word(inside - 1) if inside >= 0 else "", "", "", self.receiver(inside - 1) if inside >= 0 else "")
+            elif k in ("=", ":=") and self.is_name(i - 1) and self.kind(i - 2) not in (".", "?."):
+                self.assignment(i)
+            elif self.is_name(i) and self.kind(i + 1) == "(" and self.kind(i - 1) not in ("new", "@", "function", "def", "func"):
+                end = self.close.get(i + 1, i + 1)
+                if self.kind(i - 1) in (".", "?.") and self.kind(i - 2) == ")" or self.kind(end + 1) in (".", "?.") and self.kind(end + 3) == "(":
+                    depth, j = 1, i
+                    while self.kind(j - 1) in (".", "?.") and self.kind(j - 2) == ")" and j - 2 in self.open_at:
+                        depth += 1
+                        j = self.open_at[j - 2] - 1
+                    while self.kind(end + 1) in (".", "?.") and self.kind(end + 3) == "(":
+                        end = self.close.get(end + 3, len(self.tokens))
+                    self.put("chain", i, self.word(i), str(self.tokens[min(end, len(self.tokens) - 1)].line), "", "", str(depth))
+
+    def assignment(self, i: int) -> None:
+        """Kind of what a variable is set to: copy, field_access, call_result, method_call_result or constructor."""
+        j = i + 1
+        fresh = self.kind(j) in ("new", "await", "&")
+        made = self.kind(j) == "new"
+        j += fresh
+        if not self.is_name(j):
+            return
+        path = [self.word(j)]
+        while self.kind(j + 1) in (".", "?.") and self.is_name(j + 2):
+            j += 2
+            path.append(self.word(j))
+        if self.kind(j + 1) == "(":
+            kind = "constructor" if made else "method_call_result" if len(path) > 1 else "call_result"
+        elif self.kind(j + 1) in (";", "", "}", ")", ",") or self.tokens[j + 1].line > self.tokens[j].line:
+            kind = "field_access" if len(path) > 1 else "copy"
+        else:
+            return
+        self.put("assignment", i, self.word(i - 1), ".".join(path), kind)
+
     def facts(self) -> list[tuple]:
         self.annotated()
+        self.expressions()
         self.calls()
         self.sql_strings()
         return self.rows
@@ -420,7 +496,9 @@ def file_web_facts(language: str, text: str) -> list[tuple]:
 def web_facts(files: DataFrame) -> DataFrame:
     """Facts of all files (rel_path, content) of a known language, one row each: route (name: handler, target: path), remote
     (target: URL or service/method, framework: protocol), query (target: SQL, method: type, framework: tables, detail:
-    conditional parts) and annotation (name, target: owner, method: kind of owner, detail: arguments). Files are
+    conditional parts), annotation (name, target: owner, method: kind of owner, detail: arguments), accessor (name, target:
+    class, method: type, detail: parameters), const_ref, lambda (name: variable, target: call it is handed to), assignment
+    (method: kind), chain (detail: depth, target: line of the outermost call) and decision. Files are
     independent; nothing is shuffled. A repeated file repeats its facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,41 @@ def test_typescript():
     assert {r[1:4] for r in of("typescript", TS, "query")} == {("this.catRepository.findOne(...)", "SELECT", ""), ("DELETE FROM `t` WHERE a", "DELETE", "t")}
 
 
+def test_expressions():
+    java = '''@Data class P { private boolean ok; private List<String> names; int f(Color c) {
+    switch (c) { case RED: case Color.BLUE: return 1; default: }
+    var a = b; var d = this.e; var g = h(); var k = m.n(); var q = new R(1);
+    items.stream().map(x -> x.y()).toList();
+    return a && d ? 1 : 2; } }'''
+    assert {r[0] for r in of("java", java, "const_ref")} == {"RED", "BLUE"}
+    assert {(r[0], r[2]) for r in of("java", java, "assignment")} == {("a", "copy"), ("d", "field_access"), ("g", "call_result"), ("k", "method_call_result"), ("q", "constructor")}
+    assert {(r[0], r[1], r[2]) for r in of("java", java, "accessor")} == {("isOk", "P", "boolean"), ("setOk", "P", "void"), ("getNames", "P", ""), ("setNames", "P", "void")}
+    assert [(r[0], r[4]) for r in of("java", java, "chain")] == [("stream", "1"), ("map", "2"), ("toList", "3")]
+    assert [(r[1], r[4]) for r in of("java", java, "lambda")] == [("map", "items.stream()")]
+    assert sorted(r[0] for r in of("java", java, "decision")) == ["&&", "?", "case", "case"]
+    assert [r[0] for r in of("python", "f = lambda x: x\nif a and b: pass\n", "lambda")] == ["f"]
+
+
+def test_definition_files(spark):
+    from skein.sources import definition_facts as D
+    from skein.sources.definitions import lombok_accessors, path_aliases, storage_address
+
+    rows = [
+        ("p", "p/pom.xml", "<modules><module>core</module></modules> spring-boot mybatis"), ("p", "p/package.json", '{"workspaces": ["a/*"]}'), ("p", "p/m.xml", '<mapper namespace="u.M"><select id="one">SELECT * FROM t</select></mapper>'),
+        ("p", "p/s.proto", "service S { rpc Get (A) returns (B); }"), ("p", "p/q.graphql", "type Query { user(id: ID): User }"), ("q", "q/tsconfig.json", '{"compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/*"]}}} // x'), ("q", "q/a.java", "class A {}"), ("q", None, "x"),
+    ]
+    df = spark.createDataFrame([(s, p, c.encode(), 1) for s, p, c in rows], "source_project string, rel_path string, content binary, name int")
+    facts = D.definition_facts(df)
+    got = {(r.fact, r.name, r.detail) for r in facts.collect()}
+    assert got >= {("module", "core", "pom.xml"), ("module", "a/*", "package.json"), ("mapper_query", "u.M.one", "SELECT SELECT * FROM t"), ("rpc", "Get", "S"), ("operation", "user", "Query"), ("path_alias", "@app/", "src/app"), ("framework", "spring", "route")}
+    assert [tuple(r) for r in D.project_types(facts).collect()] == [("p", "maven", "package.json,pom.xml")]
+    parsers = D.definition_parsers(D.project_frameworks(facts)).first()
+    assert parsers.query_parser and not parsers.schema_parser and D.definition_facts(df.limit(0)).count() == 0
+    assert path_aliases("{") == [] and path_aliases('{"compilerOptions": {"baseUrl": "lib",}}') == [("", "lib")]
+    assert storage_address("kuzu") == "graph.db" and storage_address("kuzu", "", "c", "e") == "e" and storage_address("kuzu", "x", "c", "e") == "x"
+    assert lombok_accessors(["Getter"], [("a", "int")]) == [("getA", "int", 0)]
+
+
 def test_odd_texts(spark):
     for language in ("java", "go", "python", "typescript", "javascript"):
         for text in ("", "@", "@A(", "}}}{", "x.get(", "a = ", "'", "if {", "@A class", "select", ")" * 50, "f(" * 200):
