@@ -322,12 +322,6 @@ def l06_candidates(spark, sf):
     return L.first_five(fn, "name").join(fn.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").where("n > 1").select("name", "shown", "n")
 
 
-@query("select id, list_has_all(['1', '2', '3'], list_distinct(string_split(cast(complexity as varchar), ''))) value from fn where complexity is not null")
-def u04_subset(spark, sf):
-    digits = F.array_distinct(F.filter(F.split(F.col("complexity").cast("string"), ""), lambda x: x != ""))
-    return view(spark, sf, "fn").where("complexity is not null").select("id", L.is_subset(digits, F.array(*map(F.lit, "123"))).alias("value"))
-
-
 def queries() -> dict:
     return Q
 

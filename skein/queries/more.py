@@ -384,6 +384,99 @@ def n07_needs_analysis(spark, sf):
     return last.select("source_project", (F.col("indexed") > F.coalesce("analysed", F.lit(0))).alias("needed"))
 
 
+# ---- Scalars over several columns
+
+# Annotations worth keeping, by framework (_always and _test hold everywhere), with their category.
+ANNOTATIONS = {
+    "spring": {"RestController": "layer", "Controller": "layer", "Service": "layer", "Repository": "layer", "Component": "layer", "Configuration": "layer", "Entity": "layer", "Table": "layer", "MappedSuperclass": "layer", "Transactional": "transaction", "Async": "async", "Scheduled": "scheduled", "Cacheable": "cache", "CacheEvict": "cache", "EventListener": "event_listener", "TransactionalEventListener": "event_listener", "KafkaListener": "event_listener", "RabbitListener": "event_listener", "PostConstruct": "lifecycle", "PreDestroy": "lifecycle", "PreAuthorize": "security", "Secured": "security", "RolesAllowed": "security", "Value": "config", "ConditionalOnProperty": "config", "Profile": "config"},
+    "mybatis": {"Mapper": "layer", "Select": "query", "Insert": "query", "Update": "query", "Delete": "query"},
+    "hibernate": {"Entity": "layer"},
+    "dubbo": {"DubboService": "rpc", "GrpcService": "rpc", "DubboReference": "rpc"},
+    "graphql": {"QueryMapping": "graphql", "MutationMapping": "graphql", "SubscriptionMapping": "graphql"},
+    "nestjs": {"Controller": "layer", "Injectable": "layer", "Module": "layer", "Guard": "security", "UseGuards": "security", "Cron": "scheduled"},
+    "fastapi": {"Depends": "dependency"}, "xxl-job": {"XxlJob": "scheduled"}, "rocketmq": {"RocketMQMessageListener": "event_listener"}, "guava": {"Subscribe": "event_listener"}, "swagger2": {"ApiOperation": "doc"}, "swagger3": {"Operation": "doc"},
+    "_test": {"Test": "test", "SpringBootTest": "test", "MockBean": "test"}, "_always": {"Deprecated": "lifecycle"},
+}
+
+
+def whitelist(frameworks: list[str], include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> dict[str, str]:
+    """Annotations (name: category) that the frameworks make worth keeping; later frameworks override, included names are
+    custom unless known, excluded ones go."""
+    out: dict[str, str] = {}
+    for f in ("_always", "_test", *frameworks):
+        out |= ANNOTATIONS.get(f, {})
+    return {k: v for k, v in ({n: "custom" for n in include} | out).items() if k not in exclude}
+
+
+@query("select distinct c.id, a.n annotation, case a.n when 'Service' then 'layer' else 'custom' end category from cls c, (select id, json_extract_string(j, '$.name') n from (select id, unnest(cast(coalesce(annotations, '[]') as json[])) j from cls)) a where a.id = c.id and a.n in ('Service', 'Marker')")
+def x21_whitelisted(spark, sf):
+    """Class annotations that the whitelist of a project keeps, with their category."""
+    kept = whitelist(["spring"], ("Marker",), ("Table",))
+    table = F.create_map(*[x for k, v in kept.items() for x in (F.lit(k), F.lit(v))])
+    a = view(spark, sf, "cls").select("id", F.explode(F.from_json("annotations", "array<struct<name:string>>")).alias("a")).select("id", F.col("a.name").alias("annotation"))
+    return a.select("id", "annotation", table[F.col("annotation")].alias("category")).where("category is not null").distinct()
+
+
+@query(f"select distinct x name, coalesce({_ENTRY}, '') entry_type from (select unnest(['Scheduled', 'KafkaListener', 'XxlJob', 'DubboService']) x union all select name from annotation)")
+def x22_entry_types(spark, sf):
+    names = spark.createDataFrame([(n,) for n in ("Scheduled", "KafkaListener", "XxlJob", "DubboService")], "name string").unionByName(view(spark, sf, "annotation").select("name")).distinct()
+    types = F.create_map(*[x for k, v in ENTRY_TYPES.items() for x in (F.lit(k), F.lit(v))])
+    return names.select("name", F.coalesce(types[F.col("name")], F.lit("")).alias("entry_type"))
+
+
+_LATEST = "f as (select id, name, coalesce(is_static, false) st, json_array_length(cast(coalesce(nullif(params, ''), '[]') as json))::int np, coalesce(len(return_types), 0) nr, coalesce(len(return_types) = 0 or return_types = ['void'], true) vo, coalesce(complexity, 1) c, end_line - start_line d from (select *, row_number() over (partition by id order by indexed_at desc, deleted_at desc nulls first) rn from function_nodes where id is not null) where rn = 1 and deleted_at is null)"
+
+
+@query(f"with {_LATEST} select id, (not st and np = 0 and nr > 0 and (starts_with(name, 'get') or starts_with(name, 'is')) and length(name) > 3 and c <= 1 and d <= 2) getter, (not st and np = 1 and starts_with(name, 'set') and length(name) > 3 and vo and c <= 1 and d <= 2) setter from f where name is not null and d is not null")
+def x32_accessors(spark, sf):
+    """Whether a function's shape is that of a getter or setter."""
+    w = Window.partitionBy("id").orderBy(F.desc("indexed_at"), F.desc_nulls_first("deleted_at"))
+    f = read_table(spark, sf, "function_nodes").where("id is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1 and deleted_at is null and name is not null and end_line is not null and start_line is not null")
+    f = _arity(f)
+    returns = F.coalesce("return_types", F.array().cast("array<string>"))
+    nothing = (F.size(returns) == 0) | ((F.size(returns) == 1) & (F.try_element_at(returns, F.lit(1)) == "void"))
+    static, c, d = F.coalesce("is_static", F.lit(False)), F.coalesce("complexity", F.lit(1)), F.col("end_line") - F.col("start_line")
+    return f.select("id", S.is_getter(F.col("name"), static, F.size("parsed"), F.size(returns), c, d).alias("getter"), S.is_setter(F.col("name"), static, F.size("parsed"), nothing, c, d).alias("setter"))
+
+
+@query("select id, case when coalesce(params, '') = '' then '[]' else params end json from fn")
+def x42_json_round_trip(spark, sf):
+    """Parameter lists read and written again as JSON."""
+    return _arity(view(spark, sf, "fn")).select("id", F.to_json("parsed").alias("json"))
+
+
+@query("select c.id, case when c.name like 'B%' then 'POST' else '' end method, case when c.name like 'B%' then '/' || c.name else '' end path from cls c where name is not null")
+def x43_route_of_annotations(spark, sf):
+    """Verb and path of the first mapping annotation; here classes that begin with B carry one."""
+    named = F.when(F.col("name").startswith("B"), F.array(F.lit("Service"), F.lit("PostMapping"))).otherwise(F.array(F.lit("Service")))
+    c = view(spark, sf, "cls").where("name is not null").select("id", S.route_of_annotations(named, F.array(F.lit(""), F.concat(F.lit("/"), "name"))).alias("r"))
+    return c.select("id", "r.method", "r.path")
+
+
+@query()
+def x44_staleness_messages(spark, sf):
+    """Warning of every branch's index."""
+    n = n08_staleness(spark, sf)
+    return n.select("source_project", "branch", S.staleness_message(F.col("reason"), F.lit("0123456789"), F.lit("abcdefghij"), F.lit(0), F.lit(0), F.lit(0)).alias("message"))
+
+
+SQL["x44_staleness_messages"] = f"select source_project, branch, case reason when 'not_indexed' then 'Index not found. Run index_repository to build the index.' when 'new_commits' then 'Index outdated: branch has new commits (indexed: 0123456, current: abcdefg). Consider re-indexing.' else '' end message from ({SQL['n08_staleness']}) n"
+
+
+@query("select id, list_filter([regexp_extract(trim(sql_text), '(?i)^update\\s+([^\\s,();]+)', 1), regexp_extract(' ' || trim(sql_text) || ' ', '(?i) from +([^\\s,();]+)', 1), regexp_extract(' ' || trim(sql_text) || ' ', '(?i) into +([^\\s,();]+)', 1), regexp_extract(' ' || trim(sql_text) || ' ', '(?i) join +([^\\s,();]+)', 1)], lambda x: x <> '')[1] first_table, len(string_split(sql_text, '=')) - 1 n_conditions from query_node")
+def x45_query_nodes(spark, sf):
+    """Stored queries with their tables as a list and their conditions counted."""
+    tables = S.sql_tables(F.col("sql_text"))
+    return view(spark, sf, "query_node").select("id", F.try_element_at(tables, F.lit(1)).alias("first_table"), (F.size(F.split("sql_text", "=")) - 1).cast("long").alias("n_conditions"))
+
+
+@query("select call_id, list_has_all(arg_types, ['string', 'int']) value from (select call_id, min(arg_types) arg_types from calls where arg_types is not null group by 1)")
+def u04_subset(spark, sf):
+    """Whether a call's argument types hold all of a required set."""
+    c = read_table(spark, sf, "calls").where("arg_types is not null").groupBy("call_id").agg(F.min("arg_types").alias("a"))
+    return c.select("call_id", L.is_subset(F.array(F.lit("string"), F.lit("int")), F.col("a")).alias("value"))
+
+
 def queries() -> dict:
     return Q
 

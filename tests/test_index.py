@@ -102,3 +102,16 @@ def test_core_forest_against_plain_contraction(spark):
 def test_tree_text():
     text = forest.call_tree_text("r", [("r", "b", 3), ("r", "a", 1), ("a", "b", 2), ("r", "a", 9), ("b", "r", 1)], {"r": "root"})
     assert text.splitlines() == ["root", "  a x2", "    b", "      root (see above)", "  b (see above)"]
+
+
+def test_repository_source(spark, tmp_path):
+    from skein.sources.repository import RepositorySource
+
+    for path, text in (("a/b.py", "def f(): pass\n"), ("a/c.go", "package c\n"), ("node_modules/x.js", "1"), ("a/n.txt", "x"), ("big.ts", "x" * 99)):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    spark.dataSource.register(RepositorySource)
+    got = {r.rel_path: (r.language, r.size, r.content is None) for r in spark.read.format("repository").option("maxBytes", "50").load(str(tmp_path)).collect()}
+    assert got == {"a/b.py": ("python", 14, False), "a/c.go": ("go", 10, False), "big.ts": ("typescript", 99, True)}
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("repository").load(str(tmp_path / "none")).count() == 0
