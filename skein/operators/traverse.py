@@ -50,14 +50,14 @@ def call_chain(functions: DataFrame, calls: DataFrame, dispatches: DataFrame, ro
         sent = sent.join(types, ["root", "id"], "left").join(names.select(F.col("id").alias("other"), F.col("qualified_name").alias("other_name")), "other")
         sent = sent.where(F.col("prefixes").isNull() | F.col("own") | F.exists("prefixes", lambda p: F.col("other_name").startswith(p)))
         sent = scratch.save(sent.select("root", "src", "dst", F.lit("DISPATCHES").alias("kind"), F.lit(level).alias("level"), F.lit(None).cast("int").alias("line"), "confidence", *[F.lit(None).cast(t).alias(n) for n, t in empty_types.items() if n != "line"]))
-        more = sent.select("root", F.col(far).alias("id")).distinct().join(visited, ["root", "id"], "left_anti").join(new, ["root", "id"], "left_anti")
-        frontier = scratch.save(new.unionByName(more))
+        more = scratch.save(sent.select("root", F.col(far).alias("id")).distinct().join(visited.unionByName(new), ["root", "id"], "left_anti"))
+        frontier = new.unionByName(more)  # both written, as the visited nodes of each level are
         all_nodes.append(frontier.withColumn("level", F.lit(level)))
         all_edges += [step, sent]
         if level < depth:
             if frontier.isEmpty():
                 break
-            visited = scratch.save(visited.unionByName(frontier))
+            visited = visited.unionByName(frontier)
     nodes, edges = all_nodes[0], all_edges[0]
     for x in all_nodes[1:]:
         nodes = nodes.unionByName(x)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+_BASES: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/skein-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        _BASES.append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
@@ -39,12 +41,20 @@ class Scratch:
         return saved
 
     def drop(self, df: DataFrame | None) -> None:
-        if df is None or id(df) not in self._paths:
-            return
-        path = self._paths.pop(id(df))
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if df is not None and id(df) in self._paths:
+            _delete(self.spark, self._paths.pop(id(df)))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the scratch tables of all jobs so far. To be called when their results have been read or written, as results
+    are read from these tables."""
+    while _BASES:
+        _delete(spark, _BASES.pop())
 
 
 def bounded(df: DataFrame, max_rows: int) -> bool:
