@@ -77,7 +77,7 @@ def test_resolution_order(spark):
     )
     edges, hints = resolve_calls(calls, fn, ext)
     assert {r.call_id: (r.target_id, r.resolved_by) for r in edges.collect()} == {1: ("1", "pre_resolved"), 2: ("1", "same_file"), 3: ("2", "arg_count"), 4: ("3", "name_unique"), 5: ("e", "external")}
-    assert [(r.call_id, r.hint_type, r.candidates, r.shown) for r in hints.collect()] == [(6, "untyped_receiver", 2, "4,5")]
+    assert [(r.call_id, r.hint_type, r.candidates, r.shown) for r in hints.collect()] == [(6, "lambda_call", 2, "4,5")]  # a receiver without type, dot or call
 
 
 def test_fixpoints_and_linearisation(spark):
