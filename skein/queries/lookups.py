@@ -272,14 +272,14 @@ def l07_vector_top(spark, sf):
                     continue
                 mine, vectors = pdf.vec_id.to_numpy(), np.stack(pdf.embedding.to_numpy()).astype(np.float64)
                 for a in range(0, len(ids), 500):
-                    score = np.round(queries[a : a + 500] @ vectors.T, 6)
-                    order = np.lexsort((np.broadcast_to(mine, score.shape), -score), axis=1)[:, :10]
+                    score = queries[a : a + 500] @ vectors.T
+                    order = np.lexsort((np.broadcast_to(mine, score.shape), -np.round(score, 6)), axis=1)[:, :10]
                     q = np.repeat(ids[a : a + 500], order.shape[1])
                     yield pd.DataFrame({"query_id": q, "vec_id": mine[order].ravel(), "d": np.take_along_axis(score, order, 1).ravel()})
 
         found = e.mapInPandas(near, "query_id long, vec_id long, d double")
         out = found if out is None else out.unionByName(found)
-    first = Window.partitionBy("query_id").orderBy(F.desc("d"), "vec_id")
+    first = Window.partitionBy("query_id").orderBy(F.desc(F.round("d", 6)), "vec_id")
     return out.withColumn("n", F.row_number().over(first)).where("n <= 10").select("query_id", "vec_id", F.round("d", 3).alias("score"))
 
 
