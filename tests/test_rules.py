@@ -84,3 +84,26 @@ def test_argument_types(spark):
     got = {(r.call_id, r.id) for r in overloads.by_argument_types(df, types).collect()}
     assert got == {(1, "num"), (2, "s"), (2, "i"), (3, "other"), (4, "fixed"), (5, "exact"), (6, "v")}
     assert overloads.by_argument_types(df.limit(0), types).count() == 0
+
+
+def test_overrides_through_tables(spark, data, tmp_path):
+    """j16 on tables that hold an override two levels up, against its SQL."""
+    import duckdb
+
+    from skein.queries import all_oracle_sql, all_queries
+
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    added = {
+        "class_nodes": "select * replace ('k' || n as id, 'K' || n as name, 'p.K' || n as qualified_name, 'p/k.py' as file_path) from (select * from '{0}' limit 1), range(3) t(n)",
+        "function_nodes": "select * exclude (n) replace ('f' || n as id, 'run' as name, 'p.K' || n || '.run' as qualified_name, false as is_constructor, null as deleted_at, now()::timestamptz as indexed_at, '[]' as params) from (select * from '{0}' where indexed_at is not null limit 1), (values (0), (2)) t(n)",
+        "edges": "select * exclude (n) replace (-n as edge_id, 'k' || n as source_id, 'k' || (n - 1) as target_id, 'EXTENDS' as kind) from (select * from '{0}' where kind = 'EXTENDS' limit 1), (values (1), (2)) t(n)",
+    }
+    added["class_nodes"] = added["class_nodes"].replace("select * replace", "select * exclude (n) replace")
+    for name in ("class_nodes", "function_nodes", "edges"):
+        source = f"{data}/{name}.parquet"
+        con.execute(f"copy (select * from '{source}' union all by name {added[name].format(source)}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    got = {tuple(r) for r in all_queries()["j16_overrides"](spark, str(tmp_path)).select("kind", "src", "dst").collect()}
+    assert {("OVERRIDES", "f2", "f0"), ("DISPATCHES", "f0", "f2")} <= got
+    assert got == set(con.execute(f"select kind, src, dst from ({all_oracle_sql()['j16_overrides']})").fetchall())
