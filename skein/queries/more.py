@@ -115,8 +115,10 @@ def f34_argument_types(spark, sf):
     c = read_table(spark, sf, "calls").where("called_name is not null and arg_types is not null").select("call_id", F.col("called_name").alias("name"), F.col("arg_types").alias("arguments")).groupBy("call_id", "name").agg(F.min("arguments").alias("arguments"))
     f = _arity(view(spark, sf, "fn")).select("id", "name", F.transform("parsed", lambda p: F.coalesce(p["type"], F.lit(""))).alias("params"), F.array().cast("array<string>").alias("generics"))
     links = view(spark, sf, "cls").select(F.col("id").alias("src"), F.col("name").alias("child")).join(view(spark, sf, "extends_edge"), "src").join(view(spark, sf, "cls").select(F.col("id").alias("dst"), F.col("name").alias("parent")), "dst").select("child", "parent").distinct()
-    types = overloads.compatible(spark, overloads.type_closure(spark, links))
-    return overloads.by_argument_types(c.join(f, "name").select("call_id", "id", "params", "arguments", "generics"), types)
+    # Read three times, so written once.
+    candidates = Scratch(spark).save(c.join(f, "name").select("call_id", "id", "params", "arguments", "generics"))
+    types = overloads.compatible(spark, overloads.type_closure(spark, links, 32, *overloads.asked_types(spark, candidates)))
+    return overloads.by_argument_types(candidates, types)
 
 
 Q["f34_argument_types"] = f34_argument_types

@@ -86,6 +86,20 @@ def test_argument_types(spark):
     assert overloads.by_argument_types(df.limit(0), types).count() == 0
 
 
+def test_closure_follows_asked_types_only(spark):
+    """Of a wide hierarchy only the supertypes of types that calls name are worked out; the choice stays as with all."""
+    wide = [(f"L{k}N{i}", f"L{k + 1}N{j}") for k in range(4) for i in range(6) for j in range(6)]
+    links = spark.createDataFrame([*wide, ("Integer", "Number"), ("Number", "Object")], "child string, parent string")
+    rows = [(1, "far", ["L4N0"], ["L1N2"], []), (1, "near", ["L2N5..."], ["L1N2"], []), (1, "no", ["L0N0"], ["L1N2"], []), (2, "box", ["Number"], ["int"], []), (2, "no", ["L3N3"], ["int"], []), (3, "none", [], [], []), (3, "some", ["L3N3"], [], [])]
+    df = spark.createDataFrame(rows, "call_id int, id string, params array<string>, arguments array<string>, generics array<string>")
+    asked = overloads.type_closure(spark, links, 32, *overloads.asked_types(spark, df))
+    assert {tuple(r) for r in asked.where("depth > 0").collect()} == {("L1N2", "L2N5", 1), ("L1N2", "L3N3", 2), ("L1N2", "L4N0", 3), ("Integer", "Number", 1)}
+    every = overloads.type_closure(spark, links)
+    assert every.count() == 30 + 6 * 6 * 10 + 3 + 3
+    chosen = [{tuple(r) for r in overloads.by_argument_types(df, overloads.compatible(spark, c)).collect()} for c in (asked, every)]
+    assert chosen[0] == chosen[1] == {(1, "near"), (2, "box"), (3, "none")}
+
+
 def test_overrides_through_tables(spark, data, tmp_path):
     """j16 on tables that hold an override two levels up, against its SQL."""
     import duckdb
