@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators import bits
 from skein.operators.lookup import lookup_join
+from skein.operators.prefix_sum import number_rows
 from skein.operators.traverse import ancestors
-from skein.storage import Scratch, bounded
+from skein.storage import Scratch, bounded, shuffle_partitions
 
 # Boxed types of Java.
 BOXES = (("int", "Integer"), ("long", "Long"), ("double", "Double"), ("float", "Float"), ("boolean", "Boolean"), ("char", "Character"), ("byte", "Byte"), ("short", "Short"))
@@ -22,12 +24,28 @@ def type_closure(spark: SparkSession, subtypes: DataFrame, depth: int = 32, of:
     links = scratch.save(subtypes.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct())
     own = links.select(F.col("src").alias("child")).union(links.select("dst")).distinct()
     own = own if of is None else own.join(of.withColumnRenamed("type", "child"), "child", "left_semi")
-    up = ancestors(links, depth, scratch, None if of is None else of.withColumnRenamed("type", "id"))
-    up = up.select(F.col("id").alias("child"), F.col("ancestor").alias("parent"), F.col("level").alias("depth"))
+    if bounded(links, bits.MOST):
+        up = _levels_up(spark, links, depth, of, to, scratch)
+    else:
+        up = ancestors(links, depth, scratch, None if of is None else of.withColumnRenamed("type", "id"))
+        up = up.select(F.col("id").alias("child"), F.col("ancestor").alias("parent"), F.col("level").alias("depth"))
     every = own.select("child", F.col("child").alias("parent"), F.lit(0).alias("depth")).unionByName(up)
     return every if to is None else every.join(to.withColumnRenamed("type", "parent"), "parent", "left_semi").select("child", "parent", "depth")
 
 
+def _levels_up(spark: SparkSession, links: DataFrame, depth: int, of: DataFrame | None, to: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """child, parent, depth (1 on) by bit sets; no pair is shuffled."""
+    ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    numbered = scratch.save(number_rows(ends, ["id"], "no", scratch))
+    table = bits.numbered_edges(links, numbered).toArrow()
+    graph = bits.plain(bits.names_of(numbered), bits.column(table, "s"), bits.column(table, "d"))
+    children = links.select(F.col("src").alias("id")).distinct()
+    children = children if of is None else children.join(of.withColumnRenamed("type", "id"), "id", "left_semi")
+    wanted = None if to is None else bits.column(numbered.join(to.withColumnRenamed("type", "id"), "id", "left_semi").select("no").toArrow(), "no")
+    sources = numbered.join(children, "id").select(F.col("no").cast("int").alias("no"), F.array("id").alias("owners")).repartition(shuffle_partitions(spark))
+    return bits.reached(spark, graph, sources, depth, wanted).select(F.col("owner").alias("child"), F.col("id").alias("parent"), F.col("level").alias("depth"))
+
+
 def asked_types(spark: SparkSession, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The types (column type) of arguments and of parameters among candidates, those of the first with all boxes."""
     each = lambda c: F.explode(F.array_distinct(c)).alias("type")

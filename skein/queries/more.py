@@ -326,7 +326,7 @@ def x30_type_depth(spark, sf):
     """Least number of links from each class name up to each of its supertypes."""
     names = lambda end, out: view(spark, sf, "cls").select(F.col("id").alias(end), F.col("name").alias(out))
     links = view(spark, sf, "extends_edge").join(names("src", "child"), "src").join(names("dst", "parent"), "dst").select("child", "parent").distinct()
-    return overloads.type_closure(spark, links).groupBy("child", "parent").agg(F.min("depth").alias("depth"))
+    return overloads.type_closure(spark, links)
 
 
 @query("select path, max(version) version, count(*) n_snapshots from (select distinct source_project, branch, last_indexed_at, version, unnest(map_keys(files)) path from fingerprint_files where files is not null) group by 1")
