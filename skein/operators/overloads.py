@@ -37,11 +37,10 @@ def _levels_up(spark: SparkSession, links: DataFrame, depth: int, of: DataFrame
     """child, parent, depth (1 on) by bit sets; no pair is shuffled."""
     ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     numbered = scratch.save(number_rows(ends, ["id"], "no", scratch))
-    table = bits.numbered_edges(links, numbered).toArrow()
-    graph = bits.plain(bits.names_of(numbered), bits.column(table, "s"), bits.column(table, "d"))
+    graph = bits.plain(bits.names_of(numbered), *bits.columns(bits.numbered_edges(links, numbered), "s", "d"))
     children = links.select(F.col("src").alias("id")).distinct()
     children = children if of is None else children.join(of.withColumnRenamed("type", "id"), "id", "left_semi")
-    wanted = None if to is None else bits.column(numbered.join(to.withColumnRenamed("type", "id"), "id", "left_semi").select("no").toArrow(), "no")
+    wanted = None if to is None else bits.columns(numbered.join(to.withColumnRenamed("type", "id"), "id", "left_semi"), "no")[0]
     sources = numbered.join(children, "id").select(F.col("no").cast("int").alias("no"), F.array("id").alias("owners")).repartition(shuffle_partitions(spark))
     return bits.reached(spark, graph, sources, depth, wanted).select(F.col("owner").alias("child"), F.col("id").alias("parent"), F.col("level").alias("depth"))
 

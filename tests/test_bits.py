@@ -46,3 +46,24 @@ def test_names_closure_is_not_gathered_again(spark, data):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < (plan.index("Aggregate") if "Aggregate" in plan else len(plan))
     assert df.count() == df.select("child", "parent").distinct().count()
+
+
+def test_route_chains_by_bits_equal_joins(spark, monkeypatch):
+    """Random calls with declared types, dispatches into new and known nodes, unknown functions and shared handlers."""
+    from skein.operators import traverse
+
+    rng = random.Random(5)
+    node = lambda: f"f{rng.randrange(60)}"
+    fn = spark.createDataFrame([(f"f{i}", None if i == 59 else f"p.T{i % 5}.f{i}") for i in range(60)], "id string, qualified_name string")
+    edge = "src string, dst string, confidence double, line int, declared_type string, chain_id int, chain_depth int"
+    calls = [(node(), node(), rng.choice([None, 0.2, 0.9]), k, rng.choice([None, "", *(f"p.T{i}" for i in range(5)), "p"]), 0, 0) for k in range(110)]
+    calls = spark.createDataFrame([*calls, ("f1", "gone", 0.9, 1, "p.T1", 0, 0)], edge)
+    sent = spark.createDataFrame([(node(), node(), rng.choice([None, 0.2, 0.9])) for _ in range(70)] + [("gone", "f2", 0.9), ("f2", "lost", 0.9)], "src string, dst string, confidence double")
+    owned = spark.createDataFrame([(f"r{k}", f"f{k % 50}") for k in range(90)] + [("r90", "none")], "owner string, id string")
+    rows = lambda: sorted((r.owner, r.id, r.level) for r in traverse.owned_chain(fn, calls, sent, owned, 4, 0.5).collect())
+    monkeypatch.setattr(traverse, "call_chain", None)  # the joins are not taken
+    by_bits = rows()
+    monkeypatch.undo()
+    monkeypatch.setattr(bits, "MOST", 0)
+    assert by_bits == rows()
+    assert len(by_bits) > 300 and {level for *_, level in by_bits} == {1, 2, 3, 4}
